@@ -1,0 +1,4 @@
+"""Queries of the engine's operators bound to the driver's tables, with their SQL."""
+
+QUERIES = {}
+ORACLE_SQL = {}
