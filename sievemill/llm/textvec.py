@@ -124,7 +124,7 @@ def shingles(word_hash: np.ndarray, doc: np.ndarray, n_docs: int, k: int = 5) ->
     at = doc_slices(doc, n_docs)
     sizes = np.diff(at)
     out = np.zeros(max(0, n - k + 1), U64)
-    for i in range(k):
+    for i in range(k if n >= k else 0):
         out += mix(word_hash[i : n - k + 1 + i] + U64(i + 1))
     whole = doc[: n - k + 1] == doc[k - 1 :] if n >= k else np.zeros(0, bool)
     h, d, w = mix(out[whole]), doc[: n - k + 1][whole] if n >= k else doc[:0], np.flatnonzero(whole)
