@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_crf
+from . import decontaminate, line_dedup, mixing, quality_crf
 from .common import table
 
 QUERIES = {}
@@ -20,3 +20,48 @@ def query(f):
 def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_crf.quality_scores(docs, quality_crf.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op3_decontaminate"] = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\x80-\x{10FFFF}]+'), lambda x: x <> '') AS w FROM documents
+), v AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\x80-\x{10FFFF}]+'), lambda x: x <> '') AS w FROM benchmark
+), ds AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM w WHERE len(w) > 0
+), bs AS (
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM v WHERE len(w) > 0
+), n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, n AS n_item_shingles, count(*) AS n_shared, count(*)::DOUBLE / n AS containment
+FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n
+"""
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_digest(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op5_line_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, n, line, lower_ascii AS k FROM (
+    SELECT doc_id, n, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii
+    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents))
+), f AS (
+  SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+), m AS (SELECT doc_id, n, line, last IS NOT NULL AND last <> doc_id AS dropped FROM l LEFT JOIN f USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix_sources(docs)
