@@ -214,16 +214,13 @@ def routed_drops(docs: DataFrame, lines: DataFrame, n_shards: int, min_chars: in
     probes = probes.select(shard, F.pmod("id", F.lit(salts)).alias("salt"), "h", "check", "id").groupBy("shard", "salt")
     owners = lines.select(shard, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "h", "check", "n_docs", "last").groupBy("shard", "salt")
 
-    def probe(left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = [np.concatenate(c) for c in zip(*[[b.column(n).to_numpy() for n in ("h", "check", "n_docs", "last")] for b in right])]
-        if not arrays:
-            return
-        own = Shard(arrays[0].view(U64), arrays[1].view(U64), arrays[2], arrays[3])
-        for b in left:
-            h, ids = b.column("h").to_numpy(), b.column("id").to_numpy()
-            there, last = own.probe(h.view(U64), b.column("check").to_numpy().view(U64))
-            lost = there & (last != ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lost]), pa.array(h[lost])], ["__id", "h"])
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        h, check, n_docs, last = (right.column(n).to_numpy() for n in ("h", "check", "n_docs", "last"))
+        own = Shard(h.view(U64), check.view(U64), n_docs, last)
+        probed, ids = left.column("h").to_numpy(), left.column("id").to_numpy()
+        there, last = own.probe(probed.view(U64), left.column("check").to_numpy().view(U64))
+        lost = there & (last != ids)
+        return pa.table({"__id": ids[lost], "h": probed[lost]})
 
     lost = probes.cogroup(owners).applyInArrow(probe, "__id long, h long")
     return lost.groupBy("__id").agg(F.collect_set("h").alias("__drop"))
