@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, mixing, order_minhash, quality_crf
+import corpus_pipeline
+
+from . import decontaminate, line_dedup, mixing, order_minhash, quality_crf, xent
 from .common import table
 
 QUERIES = {}
@@ -70,3 +72,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_xent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return xent.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
