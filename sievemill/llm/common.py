@@ -39,3 +39,10 @@ def small_batches(spark: SparkSession) -> None:
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+def let(value, body):
+    """body(value) with value computed once, also where lambdas use it for every element."""
+    from pyspark.sql import functions as F
+
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontaminate, line_dedup, mixing, order_minhash, quality_crf, xent
+from . import chat_format, decontaminate, line_dedup, mixing, order_minhash, quality_crf, rules, secrets, xent
 from .common import table
 
 QUERIES = {}
@@ -82,3 +83,38 @@ def op9_xent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], turns.schema)
+    turns = turns.unionAll(probe).withColumn("parts", chat_format.text_part(F.col("text")))
+    return chat_format.digest(chat_format.format_conversations(turns))
+
+
+ORACLE_SQL["op2_chat_format"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), e AS (
+  SELECT *, regexp_replace(role, '([<\[])(\\*)(/?s>|\||/?INST\])', '\1\2\\\3', 'g') AS er, regexp_replace(text, '([<\[])(\\*)(/?s>|\||/?INST\])', '\1\2\\\3', 'g') AS et FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, et)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, et) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(er) + length(et) + length('<s>[INST]') + length('[/INST]') + length('</s>'))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
