@@ -34,8 +34,22 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-def repeated_words(w: Column) -> Column:
-    """Words in windows of RUN words that the array has twice or more."""
+def hashed(w: Column) -> Column:
+    """32-bit hashes of an array's words."""
+    return F.transform(w, lambda x: F.hash(x))
+
+
+def ngrams(h: Column) -> Column:
+    """Hashes of the unigrams and bigrams of hashed words."""
+    return F.concat(h, F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: F.hash(x, F.get(h, i + 1))))
+
+
+def repeated_words(w: Column, h: Column) -> Column:
+    """Words in windows of RUN words that the array has twice or more; h: hashed(w).
+
+    A window that is found again repeats RUN - 3 runs of four words, so texts in which fewer are
+    repeated have none, and only the others' windows are looked at.
+    """
 
     def covered(starts: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(1), F.size(starts)), F.lit(0), lambda a, i: a + F.coalesce(F.least(F.get(starts, i) - F.get(starts, i - 1), F.lit(RUN)), F.lit(RUN)))
@@ -46,18 +60,14 @@ def repeated_words(w: Column) -> Column:
         starts = let(order, lambda s: F.sort_array(F.transform(F.filter(s, lambda x, j: same(s, x, j - 1) | same(s, x, j + 1)), lambda x: x["i"])))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(let(starts, covered))
 
+    fours = F.transform(h, lambda x, i: F.hash(x, *[F.get(h, i + k) for k in (1, 2, 3)]))
     hashes = F.transform(F.sequence(F.lit(1), F.size(w) - RUN + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(RUN))))
-    return F.when(F.size(w) <= RUN, 0).otherwise(let(hashes, repeats))
-
-
-def ngram_buckets(w: Column, buckets: int) -> Column:
-    """Buckets of the unigrams and bigrams of an array of words."""
+    some = let(fours, lambda f: F.size(f) - F.size(F.array_distinct(f)) >= RUN - 3)
+    return F.when(F.size(w) <= RUN, 0).when(some, let(hashes, repeats)).otherwise(0)
 
-    def both(h: Column) -> Column:
-        pairs = F.transform(h, lambda x, i: F.pmod(F.hash(x, F.get(h, i + 1)), F.lit(buckets)))
-        return F.concat(F.transform(h, lambda x: F.pmod(x, F.lit(buckets))), F.slice(pairs, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))))
 
-    return let(F.transform(w, lambda x: F.hash(x)), both)
+def bucket(ngram: Column, buckets: int) -> Column:
+    return F.pmod(ngram, F.lit(buckets))
 
 
 def ratios(docs: DataFrame, labels: DataFrame, buckets: int, max_broadcast_labels: int = 1 << 22) -> Column:
@@ -65,7 +75,7 @@ def ratios(docs: DataFrame, labels: DataFrame, buckets: int, max_broadcast_label
     good = labels.where("quality = 1 and (toxic is null or toxic = 0) and doc_id is not null").select("doc_id").distinct()
     good = F.broadcast(good) if good.count() <= max_broadcast_labels else good
     marked = docs.select("doc_id", "text").join(good.withColumn("trusted", F.lit(1)), "doc_id", "left")
-    grams = marked.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(ngram_buckets(words(F.coalesce("text", F.lit(""))), buckets)).alias("b"))
+    grams = marked.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(let(let(words(F.coalesce("text", F.lit(""))), hashed), ngrams)).alias("ngram")).select("trusted", bucket(F.col("ngram"), buckets).alias("b"))
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("trusted").alias("trusted"))
     rows = counts.collect()  # at most one row a bucket
     raw, trusted = [1] * buckets, [1] * buckets
@@ -83,17 +93,20 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, least_rati
     ratio_of = ratios(docs, labels, buckets)
     text = F.coalesce(F.col("text"), F.lit(""))
 
-    def measured(x: Column) -> Column:
-        w = x["w"]
-        score = let(ngram_buckets(w, buckets), lambda g: F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(x["r"], b)) / F.size(g))
-        return F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"), F.when(F.size(w) == 0, 0.0).otherwise(score).alias("ratio"))
+    def measured(w: Column, h: Column, ratio: Column) -> Column:
+        score = let(ngrams(h), lambda g: F.aggregate(g, F.lit(0.0), lambda a, n: a + F.get(ratio, bucket(n, buckets))) / F.size(g))
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            repeated_words(w, h).cast("long").alias("n_repeat_words"),
+            F.when(F.size(w) == 0, 0.0).otherwise(score).alias("ratio"),
+        )
 
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.select(
         "doc_id",
-        let(F.struct(words(F.col("text")).alias("w"), ratio_of.alias("r")), measured).alias("m"),
-        F.length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
+        let(F.struct(words(F.col("text")).alias("w"), ratio_of.alias("r")), lambda x: let(hashed(x["w"]), lambda h: measured(x["w"], h, x["r"]))).alias("m"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
@@ -101,7 +114,7 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, least_rati
     return rows.select(
         "doc_id",
         F.col("m.n_words").alias("n_words"),
-        "word_chars",
+        F.col("m.word_chars").alias("word_chars"),
         "n_symbols",
         "n_dup_lines",
         F.col("m.n_repeat_words").alias("n_repeat_words"),

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter
@@ -5,6 +6,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from sievemill.llm import rules
+from sievemill.llm.common import let
 
 
 def base(text):
@@ -38,13 +40,11 @@ def test_base_counts(spark):
 
 
 def test_ratio(spark):
-    import math
-
     docs = [(i, f"the good words of text {i % 5} flow on") for i in range(30)] + [(100 + i, f"JUNK!! BUY!! {i} NOW!! |") for i in range(10)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(105, 1, 1)], "doc_id long, quality int, toxic int")
     buckets = 64
-    grams = {r.doc_id: r.g for r in df.select("doc_id", rules.ngram_buckets(rules.words(F.col("text")), buckets).alias("g")).collect()}
+    grams = {r.doc_id: r.g for r in df.select("doc_id", F.transform(let(let(rules.words(F.col("text")), rules.hashed), rules.ngrams), lambda p: rules.bucket(p, buckets)).alias("g")).collect()}
     raw, trusted = Counter(b for g in grams.values() for b in g), Counter(b for i, g in grams.items() if i < 20 for b in g)
     n_raw, n_trusted = sum(raw.values()) + buckets, sum(trusted.values()) + buckets
     for r in rules.judge(df, labels, buckets=buckets).collect():
