@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat_format, decontaminate, line_dedup, mixing, order_minhash, quality_crf, rules, secrets, xent
+from . import chat_format, decontaminate, line_dedup, mixing, order_minhash, quality_crf, rules, secrets, suffix_dedup, xent
 from .common import table
 
 QUERIES = {}
@@ -118,3 +118,8 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
