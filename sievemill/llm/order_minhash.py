@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow
+from .common import cut, map_arrow, release
 from .textvec import LOWER, U64, buffers, chunks, doc_slices, mix, prefix, shingles, span_hash, words
 
 K, ELL = 5, 2
@@ -219,19 +219,20 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def links(nodes: DataFrame, docs: DataFrame, threshold: float, max_rounds: int) -> DataFrame:
     """Confirmed links (key, centre) between nodes."""
     rows = nodes.where("bands is not null").select("key", F.posexplode("bands").alias("n", "band")).select(F.xxhash64("n", "band").alias("b"), "key")
-    sizes = rows.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    rows = cut(rows.join(sizes, "b"))
+    shared = cut(rows.join(rows.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "b"))
     # how many others a node meets, over all its buckets: the higher, the better a centre
-    rank = rows.groupBy("key").agg(F.sum("c").alias("met"))
-    rows = cut(rows.drop("c").join(rank, "key"))
-    need = rank.select("key").join(nodes.select("key", "rep"), "key")
+    rank = shared.groupBy("key").agg(F.sum("c").alias("met"))
+    rows = cut(shared.drop("c").join(rank, "key"))
+    release(shared)
+    need = rows.select("key").distinct().join(nodes.select("key", "rep"), "key")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(need, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "text")
     texts = cut(own_texts(texts))
     found = tested = None
     for turn in range(max_rounds):
         centres = rows.groupBy("b").agg(F.max(F.struct("met", "key")).alias("best"), F.count(F.lit(1)).alias("c")).where("c > 1").select("b", F.col("best.key").alias("centre"))
-        rows = rows.join(centres, "b")
-        pairs = rows.where("key <> centre").select("key", "centre").distinct()
+        met = cut(rows.join(centres, "b").where("key <> centre"))
+        release(rows)
+        pairs = met.select("key", "centre").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["key", "centre"], "left_anti")
         pairs = cut(pairs)
@@ -240,7 +241,9 @@ def links(nodes: DataFrame, docs: DataFrame, threshold: float, max_rounds: int)
         new = cut(verify(pairs, texts, threshold))
         found = new if found is None else found.unionAll(new)
         tested = pairs if tested is None else tested.unionAll(pairs)
-        rows = cut(rows.where("key <> centre").join(found, ["key", "centre"], "left_anti").drop("centre"))
+        rows = cut(met.join(found, ["key", "centre"], "left_anti").drop("centre"))
+        release(met)
+    release(texts)
     return found
 
 
@@ -271,7 +274,8 @@ def classes(edges: DataFrame, max_steps: int = 50) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        old, edges = edges, cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        release(old)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
