@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, also where lambdas use it for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def safe(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -33,10 +38,8 @@ def tokens(c: Column) -> Column:
 
 def token_ngrams(c: Column, size: int) -> Column:
     """Distinct token n-grams; none for shorter texts."""
-    t = tokens(c)
-    return F.when(F.size(t) < size, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(size)), " ")))
-    )
+    grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(t) - size + 1), lambda i: F.array_join(F.slice(t, i, F.lit(size)), " ")))
+    return let(tokens(c), lambda t: F.when(F.size(t) >= size, grams(t)).otherwise(F.array().cast("array<string>")))
 
 
 def containment(part: Column, whole: Column) -> Column:
