@@ -19,7 +19,7 @@ bucket. So one source may hold any share of all rows.
 The default weights are the square roots of the sources' sizes (temperature 2). Edge cases: a
 null source is a source of its own; sources without a given weight share one smallest share
 each, after the others; repeated rows are placed like any other; an empty table gives no rows;
-extra columns are kept.
+extra columns are kept, but for any that are named like the four added ones, which replace them.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARES = 1024
+ADDED = ["source_rank", "block", "slot", "slot_rank"]
 
 
 def whole_shares(weights: dict, shares: int = SHARES) -> dict:
@@ -114,14 +115,16 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block_docs: int =
     null_key = "\0null"
     buckets = spark.createDataFrame([(null_key if k is None else k, max(1, n // bucket_docs)) for k, n in counts.items()] or [(null_key, 1)], "__source string, n_buckets long")
     # the broadcast tables have a row a source, or a row a source and phase
-    dealt = docs.withColumn("__source", F.coalesce(F.col("source"), F.lit(null_key))).withColumn("__h", F.xxhash64(F.lit(seed), "doc_id"))
+    # a row travels as one struct, so no column of docs can clash with the names used here
+    kept = [c for c in docs.columns if c not in ADDED]
+    dealt = docs.select(F.struct(*[docs[f"`{c}`"] for c in kept]).alias("row"), F.coalesce(F.col("source"), F.lit(null_key)).alias("__source"), F.col("doc_id").alias("__id"), F.xxhash64(F.lit(seed), "doc_id").alias("__h"))
     dealt = dealt.join(F.broadcast(buckets), "__source").withColumn("__bucket", F.expr("shiftright(shiftrightunsigned(__h, 33) * n_buckets, 31)")).drop("n_buckets")
     sizes = dealt.groupBy("__source", "__bucket").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("__source", "__bucket", (F.sum("n").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("__before"))
-    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__h", "doc_id")) - 1).join(before, ["__source", "__bucket"])
+    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__h", "__id")) - 1).join(before, ["__source", "__bucket"])
     ranked = ranked.withColumn("source_rank", (F.col("__rank") + F.col("__before")).cast("long")).withColumn("block", F.expr(f"source_rank div {block_docs}"))
     plan = spark.createDataFrame([(null_key if r[0] is None else r[0], *r[1:]) for r in rows] or [(null_key, 0, 0, 0, 0, 1, [0])], "p_source string, phase int, first_block long, end_block long, start long, period long, offsets array<long>")
     placed = ranked.join(F.broadcast(plan), (F.col("__source") == F.col("p_source")) & (F.col("block") >= F.col("first_block")) & (F.col("block") < F.col("end_block")))
     k = F.col("block") - F.col("first_block")
     slot = F.col("start") + F.expr("(block - first_block) div size(offsets)") * F.col("period") + F.get("offsets", (k % F.size("offsets")).cast("int"))
-    return placed.withColumn("slot", slot.cast("long")).withColumn("slot_rank", F.pmod("source_rank", F.lit(block_docs)).cast("int")).select(*docs.columns, "source_rank", "block", "slot", "slot_rank")
+    return placed.withColumn("slot", slot.cast("long")).withColumn("slot_rank", F.pmod("source_rank", F.lit(block_docs)).cast("int")).select("row.*", *ADDED)

@@ -55,3 +55,11 @@ def test_mix(spark):
             break
         assert all(abs(done[k] - (t + 1) * shares[k] / total) < 1 for k in n_blocks)
     assert m.mix_sources(df.limit(0)).count() == 0
+
+
+def test_clashing_columns(spark):
+    names = ["start", "offsets", "n", "n_buckets", "phase", "period", "row", "p_source", "slot", "a.b"]
+    df = spark.createDataFrame([(i, "a", *range(len(names))) for i in range(40)], ["doc_id", "source", *names])
+    out = m.mix_sources(df)
+    assert out.columns == [c for c in df.columns if c != "slot"] + m.ADDED
+    assert sorted(r.slot * 16 + r.slot_rank for r in out.collect()) == list(range(40))
