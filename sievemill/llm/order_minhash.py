@@ -12,12 +12,16 @@ all of 20 bands of 2 are missed with a probability below 1e-4.
 2. Nodes with an equal band meet in a bucket. A bucket is never expanded into pairs: all members
    are compared with one centre, the member that meets most others over all its buckets.
    Members that the centre does not confirm are compared with the next centre of the bucket, in
-   rounds, until every member has a confirmed link or the bucket's centres are used up
-   (``max_rounds``; what is then still open in a bucket is met in the other bands).
+   ``max_rounds`` rounds. The links so far make classes. A bucket is settled if all its pairs
+   across classes have been compared, which counts show; the members of all other buckets go to
+   an exact search (``rest``): the rarest shingles of a text, so many that no similar text can
+   lack them all, are its keys, and the texts of different classes under one key are compared
+   in blocks of centres until none is left.
 3. A pair is confirmed if the Jaccard similarity of its five-word shingles is at least
    ``threshold`` and the word-level edit similarity, by alignment within the band of diagonals
    that the threshold allows, is at least ``threshold`` too.
-4. Confirmed links make classes by alternating large-star and small-star steps.
+4. Confirmed links make classes by alternating large-star and small-star steps, until they
+   change nothing.
 
 Nothing is collected but counts. Centres' texts may be hot: the joins are sort-merge joins that
 adaptive execution splits. Lineage is cut by reliable checkpoints.
@@ -44,6 +48,7 @@ from .textvec import LOWER, U64, buffers, chunks, doc_slices, mix, prefix, shing
 
 K, ELL = 5, 2
 TOP = U64(0xFFFFFFFFFFFFFFFF)
+SLOTS, BLOCK = 1 << 20, 16
 SEEDS = mix(np.arange(1, 4097).astype(U64))
 
 
@@ -223,15 +228,15 @@ def links(nodes: DataFrame, docs: DataFrame, threshold: float, max_rounds: int)
     # how many others a node meets, over all its buckets: the higher, the better a centre
     rank = shared.groupBy("key").agg(F.sum("c").alias("met"))
     rows = cut(shared.drop("c").join(rank, "key"))
-    release(shared)
     need = rows.select("key").distinct().join(nodes.select("key", "rep"), "key")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(need, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "text")
     texts = cut(own_texts(texts))
-    found = tested = None
+    found = tested = apart = None
     for turn in range(max_rounds):
         centres = rows.groupBy("b").agg(F.max(F.struct("met", "key")).alias("best"), F.count(F.lit(1)).alias("c")).where("c > 1").select("b", F.col("best.key").alias("centre"))
         met = cut(rows.join(centres, "b").where("key <> centre"))
-        release(rows)
+        if not turn:
+            release(rows)
         pairs = met.select("key", "centre").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["key", "centre"], "left_anti")
@@ -241,9 +246,91 @@ def links(nodes: DataFrame, docs: DataFrame, threshold: float, max_rounds: int)
         new = cut(verify(pairs, texts, threshold))
         found = new if found is None else found.unionAll(new)
         tested = pairs if tested is None else tested.unionAll(pairs)
-        rows = cut(met.join(found, ["key", "centre"], "left_anti").drop("centre"))
+        open_ = cut(met.join(found, ["key", "centre"], "left_anti"))
         release(met)
+        apart = open_ if apart is None else apart.unionAll(open_)
+        rows = open_.drop("centre")
+    label = cut(classes(found))
+    left = unsettled(shared, apart, label)
+    release(shared, apart)
+    out = found.unionAll(rest(left, tested, texts, threshold))
     release(texts)
+    return out
+
+
+def unsettled(shared: DataFrame, apart: DataFrame, label: DataFrame) -> DataFrame:
+    """key, label of the members of buckets with a pair across classes that was never compared.
+
+    shared: b, key; apart: b, key, centre that were compared and not confirmed (each pair once a
+    bucket); label: key, label of linked nodes.
+    """
+    members = shared.select("b", "key").join(label, "key", "left").select("b", "key", F.coalesce("label", "key").alias("label"))
+    groups = members.groupBy("b", "label").agg(F.count(F.lit(1)).alias("n"))
+    across = groups.groupBy("b").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("pairs")).where("pairs > 0")
+    of_centre = label.select(F.col("key").alias("centre"), F.col("label").alias("centre_label"))
+    done = apart.select("b", "key", "centre").join(label, "key", "left").join(of_centre, "centre", "left")
+    done = done.where(F.coalesce("label", "key") != F.coalesce("centre_label", "centre")).groupBy("b").agg(F.count(F.lit(1)).alias("done"))
+    buckets = across.join(done, "b", "left").where("pairs > coalesce(done, 0)").select("b")
+    return cut(members.join(buckets, "b", "left_semi").select("key", "label").distinct())
+
+
+def rare_first(texts: DataFrame, threshold: float) -> DataFrame:
+    """key, label, size, h: of each text the shingles h, rarest first, that no similar text lacks altogether.
+
+    Any one order of all shingles is exact; ours is by counts of ``SLOTS`` hash slots, a table of
+    fixed size, so that the shingles of common passages come last. A slot counted once holds no
+    shared shingle.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for text in b.column(2):
+                np.add.at(n, (Text(text.as_py()).shingles & U64(SLOTS - 1)).astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        for i in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)]), pa.array(n[at[i : i + (1 << 16)]])], ["slot", "n"])
+
+    counted = map_arrow(texts, count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(SLOTS, np.int64)
+    total[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_of = shared.value
+        for b in batches:
+            for i in range(b.num_rows):
+                h = Text(b.column(2)[i].as_py()).shingles
+                n = n_of[(h & U64(SLOTS - 1)).astype(np.int64)]
+                # one more for rounding, which only adds keys
+                first = np.lexsort((h, n))[: len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1]
+                keys = h[first[n[first] > 1]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(keys), pa.int32())), b.column(1).take(pa.array([i] * len(keys), pa.int32())), pa.array([len(h)] * len(keys), pa.int64()), pa.array(keys)], ["key", "label", "size", "h"])
+
+    return cut(map_arrow(texts, run, "key binary, label binary, size long, h long"))
+
+
+def rest(nodes: DataFrame, tested: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """All links (key, centre) across the classes of nodes (key, label) that tested lacks."""
+    found = texts.sparkSession.createDataFrame([], "key binary, centre binary")
+    if nodes.isEmpty():
+        return found
+    keyed = rare_first(nodes.join(texts, "key").select("key", "label", "text"), threshold)
+    groups = keyed.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
+    # under each key, all members but those of the largest class are centres in turn
+    rows = cut(keyed.join(groups.where("labels > 1").select("h", F.col("most.label").alias("largest")), "h"))
+    release(keyed)
+    todo = rows.where("label <> largest").select("h", "key", "label", "size")
+    pair = [F.least("key", "centre").alias("key"), F.greatest("key", "centre").alias("centre")]
+    tested = tested.select(*pair)
+    while not todo.isEmpty():
+        best = F.min(F.struct("key", "label", "size")).alias("best")
+        centres = cut(todo.groupBy("h", F.pmod(F.xxhash64("key"), F.lit(BLOCK)).alias("part")).agg(best).select("h", F.col("best.key").alias("centre"), F.col("best.label").alias("of"), F.col("best.size").alias("long")))
+        met = rows.join(centres, "h").where((F.col("label") != F.col("of")) & (F.least("size", "long") >= threshold * F.greatest("size", "long") - 1e-6))
+        pairs = cut(met.select(*pair).distinct().join(tested, ["key", "centre"], "left_anti"))
+        found = found.unionAll(cut(verify(pairs, texts, threshold)))
+        tested = tested.unionAll(pairs)
+        todo = cut(todo.join(centres.select("h", F.col("centre").alias("key")), ["h", "key"], "left_anti"))
     return found
 
 
@@ -264,11 +351,11 @@ def own_texts(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, run, texts.schema)
 
 
-def classes(edges: DataFrame, max_steps: int = 50) -> DataFrame:
+def classes(edges: DataFrame) -> DataFrame:
     """key, label: the smallest key of each node's component (nodes without a link are left out)."""
     edges = cut(edges.select(F.greatest("key", "centre").alias("u"), F.least("key", "centre").alias("v")).where("u <> v").distinct())
     before = None
-    for _ in range(max_steps):
+    while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

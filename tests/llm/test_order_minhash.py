@@ -112,3 +112,42 @@ def test_classes_of_chains_and_stars(spark):
     out = {r.key: r.label for r in o.classes(spark.createDataFrame(edges, "key binary, centre binary")).select(F.hex("key").alias("key"), F.hex("label").alias("label")).collect()}
     assert all(out[k(i).hex().upper()] == "0000" for i in range(1, 61))
     assert all(out[k(i).hex().upper()] == "0064" for i in range(101, 140))
+
+
+def drifting(rng, groups, size, length=100):
+    """Texts of groups in which each differs from the one before by a few words: far ends are not similar."""
+    vocabulary = [f"w{i}" for i in range(3000)]
+    out = []
+    for _ in range(groups):
+        w = [rng.choice(vocabulary) for _ in range(length)]
+        for _ in range(size):
+            out.append((len(out), " ".join(w)))
+            w = list(w)
+            at = rng.randrange(length - 3)
+            w[at : at + 3] = [rng.choice(vocabulary) for _ in range(3)]
+    return out
+
+
+def test_chains_under_common_centres_lose_no_link(spark):
+    docs = drifting(random.Random(3), 6, 14)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for rounds in (1, 6):
+        assert sorted([tuple(r) for r in o.near_duplicates(df, max_rounds=rounds).collect()], key=str) == brute(docs)
+
+
+def test_exact_search_finds_all_links_across_classes(spark, monkeypatch):
+    monkeypatch.setattr(o, "BLOCK", 2)
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = drifting(rng, 3, 6) + [(100 + i, f"{passage} " + " ".join(rng.choice("abcdefghij") + str(rng.randrange(99)) for _ in range(60))) for i in range(12)]
+    k = lambda i: i.to_bytes(2, "big")
+    texts = o.cut(spark.createDataFrame([(k(i), t) for i, t in docs], "key binary, text string"))
+    tested = spark.createDataFrame([(k(0), k(1))], "key binary, centre binary")
+    got = {(int.from_bytes(r.key, "big"), int.from_bytes(r.centre, "big")) for r in o.rest(texts.select("key", F.col("key").alias("label")), tested, texts, 0.8).collect()}
+    want = {(i, j) for i, t in docs for j, u in docs if i < j and o.similar(o.Text(t), o.Text(u), 0.8)} - {(0, 1)}
+    assert got == want and len(want) > 10
+
+
+def test_no_nodes_no_links(spark):
+    none = spark.createDataFrame([], "key binary, label binary")
+    assert o.rest(none, none.select("key", F.col("label").alias("centre")), spark.createDataFrame([], "key binary, text string"), 0.8).count() == 0
