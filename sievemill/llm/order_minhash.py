@@ -275,7 +275,7 @@ def unsettled(shared: DataFrame, apart: DataFrame, label: DataFrame) -> DataFram
 
 
 def rare_first(texts: DataFrame, threshold: float) -> DataFrame:
-    """key, label, size, h: of each text the shingles h, rarest first, that no similar text lacks altogether.
+    """key, label, size, h, at: of each text the shingles h, rarest first, that no similar text lacks altogether; at: h's place in the order.
 
     Any one order of all shingles is exact; ours is by counts of ``SLOTS`` hash slots, a table of
     fixed size, so that the shingles of common passages come last. A slot counted once holds no
@@ -304,10 +304,11 @@ def rare_first(texts: DataFrame, threshold: float) -> DataFrame:
                 n = n_of[(h & U64(SLOTS - 1)).astype(np.int64)]
                 # one more for rounding, which only adds keys
                 first = np.lexsort((h, n))[: len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1]
-                keys = h[first[n[first] > 1]].view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(keys), pa.int32())), b.column(1).take(pa.array([i] * len(keys), pa.int32())), pa.array([len(h)] * len(keys), pa.int64()), pa.array(keys)], ["key", "label", "size", "h"])
+                at = np.flatnonzero(n[first] > 1)
+                keys = h[first[at]].view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(keys), pa.int32())), b.column(1).take(pa.array([i] * len(keys), pa.int32())), pa.array([len(h)] * len(keys), pa.int64()), pa.array(keys), pa.array(at)], ["key", "label", "size", "h", "at"])
 
-    return cut(map_arrow(texts, run, "key binary, label binary, size long, h long"))
+    return cut(map_arrow(texts, run, "key binary, label binary, size long, h long, at long"))
 
 
 def rest(nodes: DataFrame, tested: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -320,17 +321,23 @@ def rest(nodes: DataFrame, tested: DataFrame, texts: DataFrame, threshold: float
     # under each key, all members but those of the largest class are centres in turn
     rows = cut(keyed.join(groups.where("labels > 1").select("h", F.col("most.label").alias("largest")), "h"))
     release(keyed)
-    todo = rows.where("label <> largest").select("h", "key", "label", "size")
+    todo = rows.where("label <> largest").select("h", "key", "label", "size", "at")
+    # at the first key that two similar texts share, what both have left must hold all they share
+    enough = F.least(F.col("size") - F.col("at"), F.col("long") - F.col("place")) >= threshold / (1 + threshold) * (F.col("size") + F.col("long")) - 1e-6
     pair = [F.least("key", "centre").alias("key"), F.greatest("key", "centre").alias("centre")]
     tested = tested.select(*pair)
+    turn = 0
     while not todo.isEmpty():
-        best = F.min(F.struct("key", "label", "size")).alias("best")
-        centres = cut(todo.groupBy("h", F.pmod(F.xxhash64("key"), F.lit(BLOCK)).alias("part")).agg(best).select("h", F.col("best.key").alias("centre"), F.col("best.label").alias("of"), F.col("best.size").alias("long")))
-        met = rows.join(centres, "h").where((F.col("label") != F.col("of")) & (F.least("size", "long") >= threshold * F.greatest("size", "long") - 1e-6))
+        best = F.min(F.struct("key", "label", "size", "at")).alias("best")
+        centres = cut(todo.groupBy("h", F.pmod(F.xxhash64("key"), F.lit(BLOCK)).alias("part")).agg(best).select("h", F.col("best.key").alias("centre"), F.col("best.label").alias("of"), F.col("best.size").alias("long"), F.col("best.at").alias("place")))
+        met = rows.join(centres, "h").where((F.col("label") != F.col("of")) & enough)
         pairs = cut(met.select(*pair).distinct().join(tested, ["key", "centre"], "left_anti"))
         found = found.unionAll(cut(verify(pairs, texts, threshold)))
         tested = tested.unionAll(pairs)
-        todo = cut(todo.join(centres.select("h", F.col("centre").alias("key")), ["h", "key"], "left_anti"))
+        old, todo = todo, cut(todo.join(centres.select("h", F.col("centre").alias("key")), ["h", "key"], "left_anti"))
+        release(centres, *([old] if turn else []))
+        turn += 1
+    release(rows, todo)
     return found
 
 
