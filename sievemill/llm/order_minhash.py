@@ -48,7 +48,7 @@ from .textvec import LOWER, U64, buffers, chunks, doc_slices, mix, prefix, shing
 
 K, ELL = 5, 2
 TOP = U64(0xFFFFFFFFFFFFFFFF)
-SLOTS, BLOCK = 1 << 20, 16
+SLOTS, BLOCK = 1 << 20, 256
 SEEDS = mix(np.arange(1, 4097).astype(U64))
 
 
