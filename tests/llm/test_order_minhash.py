@@ -151,3 +151,26 @@ def test_exact_search_finds_all_links_across_classes(spark, monkeypatch):
 def test_no_nodes_no_links(spark):
     none = spark.createDataFrame([], "key binary, label binary")
     assert o.rest(none, none.select("key", F.col("label").alias("centre")), spark.createDataFrame([], "key binary, text string"), 0.8).count() == 0
+
+
+def test_edits_of_a_repeated_line_are_found(spark):
+    rng = random.Random(5)
+    docs = []
+    for g in range(30):
+        own, line = [f"g{g}w{rng.randrange(10**6)}" for _ in range(60)], [f"l{g}x{rng.randrange(10**6)}" for _ in range(12)]
+        docs.append((2 * g, " ".join(own + line * 20)))
+        docs.append((2 * g + 1, " ".join(own + (line[:6] + ["changed"] + line[7:]) * 20)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = brute(docs)
+    assert [r[2] for r in want] == [2] * 60
+    assert sorted([tuple(r) for r in o.near_duplicates(df).collect()], key=str) == want
+
+
+def test_bands_of_a_set_do_not_see_order_or_repetitions():
+    rng = np.random.default_rng(1)
+    h = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    bands = lambda h: o.all_bands(lab := o.labelled(h, np.zeros(len(h), np.int64)), lab == o.mix(h ^ o.FIRST), 20, 2)
+    a = bands(h)
+    assert len(a) == 20 and (bands(h[::-1].copy()) == a).all()
+    twice = bands(np.concatenate([h, h[:150]]))
+    assert len(twice) == 40 and (twice[:20] == a).all()
