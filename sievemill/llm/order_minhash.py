@@ -49,6 +49,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import cut, map_arrow, release
 from .textvec import LOWER, U64, buffers, chunks, doc_slices, mix, prefix, shingles, span_hash, words
@@ -396,22 +397,49 @@ def classes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("key"), F.col("v").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 2, max_rounds: int = 6) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), class_size of every row of docs."""
+def grouped(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 2, max_rounds: int = 6) -> DataFrame:
+    """doc_id, key of its text, label of its class, class_id, class_size of every row of docs."""
     base = cut(sketch(docs, bands, rows))
     nodes = cut(base.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("bands").alias("bands")))
     label = classes(links(nodes, docs, threshold, max_rounds))
     nodes = nodes.select("key", "rep", "copies").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     # a label's members are summed before they are joined, so a large class is no large task
     whole = nodes.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = nodes.select("key", "label").join(whole, "label").select("key", "class_id", "class_size")
-    return base.select("doc_id", "key").join(named, "key").select("doc_id", "class_id", "class_size")
+    named = nodes.select("key", "label").join(whole, "label")
+    return base.select("doc_id", "key").join(named, "key").select("doc_id", "key", "label", "class_id", "class_size")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class), class_size of every row of docs."""
+    return grouped(docs, **options).select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The row of each class with the smallest doc_id, columns as they are; rows without an id stay."""
-    groups = cut(near_duplicates(docs, **options))
-    kept = docs.join(groups.where("doc_id = class_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
-    if not groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
+    """The row of each class with the smallest doc_id, columns as they are; rows without an id stay.
+
+    Where a doc_id stands for several texts, its rows are told apart by the keys of their texts: of
+    the class's rows with that id the smallest key stays, and of its rows the smallest text.
+    """
+    groups = cut(grouped(docs, **options))
+    first = groups.where("doc_id = class_id")
+    several = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = docs.join(first.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    if not several.isEmpty():
+        several = cut(several)
+        kept = kept.join(several, "doc_id", "left_anti").select(*docs.columns)
+        chosen = first.join(several, "doc_id", "left_semi").groupBy("label").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key")).select("doc_id", "key")
+        rows = with_keys(docs.join(several, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*docs.columns).alias("row")))
+        one = rows.join(chosen, ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row"))
+        kept = kept.unionAll(one.select("row.*"))
     return kept.unionAll(docs.where("doc_id is null"))
+
+
+def with_keys(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, row) with the key of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = pa.array([Text(t.as_py()).key for t in b.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, keys], ["doc_id", "text", "row", "key"])
+
+    return map_arrow(rows, run, StructType([*rows.schema.fields, StructField("key", BinaryType())]))

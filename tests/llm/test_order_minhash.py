@@ -174,3 +174,17 @@ def test_bands_of_a_set_do_not_see_order_or_repetitions():
     assert len(a) == 20 and (bands(h[::-1].copy()) == a).all()
     twice = bands(np.concatenate([h, h[:150]]))
     assert len(twice) == 40 and (twice[:20] == a).all()
+
+
+def test_keep_one_keeps_a_text_of_every_class_where_ids_repeat(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    docs = [(7, a), (7, b), (3, b), (9, a + " more"), (4, c), (4, c), (4, c.upper()), (5, c), (7, text()), (8, text())]
+    df = spark.createDataFrame([(t, i, {"k": t[:5]}) for i, t in docs], "text string, doc_id int, extra map<string,string>")
+    for n in (1, 5):
+        kept = o.keep_one(df.repartition(n))
+        assert kept.schema.names == df.schema.names and kept.dtypes == df.dtypes
+        rows = kept.collect()
+        assert sorted((r.doc_id, r.text) for r in rows) == sorted([(7, a), (3, b), (4, min(c, c.upper())), docs[8], docs[9]])
+        assert all(r.extra == {"k": r.text[:5]} for r in rows)
