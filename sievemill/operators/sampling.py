@@ -75,6 +75,13 @@ def even_examples(df: DataFrame, category: str, order: str, k: int) -> DataFrame
     return ranked.where((F.col("__m") <= k) | F.array_contains(places, F.col("__i").cast("int"))).drop("__i", "__m")
 
 
+def batches(df: DataFrame, group: str, key: str, size: str, target: int) -> DataFrame:
+    """df with a batch: each group dealt by hash into as many batches as its total size holds targets, rounded up."""
+    n = df.groupBy(F.col(group).alias("of")).agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / target)).alias("batches"))
+    name = F.concat_ws("/", F.coalesce(F.col(group).cast("string"), F.lit("")), F.pmod(F.xxhash64(key), F.col("batches")))
+    return df.join(F.broadcast(n), F.col(group).eqNullSafe(F.col("of"))).withColumn("batch", name).drop("of", "batches")
+
+
 def pack(df: DataFrame, group: str, key: str, size: str, budget: int) -> DataFrame:
     """group, key, bin: worst-fit decreasing within a group, at least ceil(total / budget) bins.
 

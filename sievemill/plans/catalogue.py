@@ -406,8 +406,8 @@ def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1024))).alias("batch"), "n_chars")
-    return sampling.pack(docs, "batch", "doc_id", "n_chars", 200_000)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return sampling.pack(sampling.batches(docs, "lang", "doc_id", "n_chars", 16 * 200_000), "batch", "doc_id", "n_chars", 200_000)
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievemill.functions import text as T
 from sievemill.functions import vectors as V
 from sievemill.operators import ledger, models, preference, sampling, scoring, similarity
+from sievemill.plans import catalogue
 from sievemill.sources import io
 from sievemill.streaming import ledger_stream
 
@@ -127,3 +128,27 @@ def test_streams(spark, tmp_path):
             (source / "2.json").write_text('{"run_hash":"a","seq":9,"status":"ok"}\n{"run_hash":"b","seq":4,"status":"ok"}\n')
         ledger_stream.upsert_latest(ledger_stream.read_ledger(spark, str(source), schema), f"{tmp_path}/state", f"{tmp_path}/cp", ["run_hash"], ["seq"]).awaitTermination(60)
     assert sorted((r.run_hash, r.seq) for r in spark.read.parquet(f"{tmp_path}/state/version=1").collect()) == [("a", 9), ("b", 4)]
+
+
+def test_packing_fills_bins_of_every_batch(spark):
+    size = {r.doc_id: (r.lang, r.n_chars) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang", "n_chars").collect()}
+    got = {}
+    for r in catalogue.QUERIES["packing"](spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.batch, {})[r.doc_id] = r.bin
+    assert sorted(i for b in got.values() for i in b) == sorted(size)
+    bins = 0
+    for batch in got.values():
+        assert len({size[i][0] for i in batch}) == 1
+        total = sum(size[i][1] for i in batch)
+        loads = [0] * max(1, -(-total // 200_000))
+        for i in sorted(batch, key=lambda i: (-size[i][1], i)):
+            at = min(range(len(loads)), key=lambda k: (loads[k] + size[i][1] > 200_000, loads[k], k))
+            if loads[at] + size[i][1] > 200_000:
+                at = len(loads)
+                loads.append(0)
+            loads[at] += size[i][1]
+            assert batch[i] == at
+        assert max(loads) <= 200_000 and total < 2 * 16 * 200_000
+        bins += len(loads)
+        assert len(loads) > 1
+    assert bins < 1.2 * sum(n for _, n in size.values()) / 200_000 + len(got)
