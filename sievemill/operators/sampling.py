@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..llm.common import cut
+
 
 def sha_rank(seed: str, key: str) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
@@ -82,6 +84,17 @@ def batches(df: DataFrame, group: str, key: str, size: str, target: int) -> Data
     return df.join(F.broadcast(n), F.col(group).eqNullSafe(F.col("of"))).withColumn("batch", name).drop("of", "batches")
 
 
+def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with its rank over the whole table, 1 first: a range-partitioned sort, then the rows of the parts before."""
+    rows = cut(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    # the id's upper bits number the parts in order, the lower 33 the rows of a part; one row a part is left
+    part = F.shiftright("_at", 33).alias("_part")
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
+    rank = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.withColumn("_part", part).join(F.broadcast(before), "_part").select(*df.columns, rank.alias(name))
+
+
 def pack(df: DataFrame, group: str, key: str, size: str, budget: int) -> DataFrame:
     """group, key, bin: worst-fit decreasing within a group, at least ceil(total / budget) bins.
 

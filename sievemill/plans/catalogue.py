@@ -372,6 +372,12 @@ def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_name", T.trailing_number(F.col("c_name")).alias("place")).orderBy("place", "c_name").limit(50)
 
 
+@query("SELECT c_custkey, c_name, place, row_number() OVER (ORDER BY place, c_name, c_custkey) AS rank FROM (SELECT c_custkey, c_name, coalesce(try_cast(nullif(regexp_extract(c_name, '([0-9]+)$', 1), '') AS BIGINT), 1000000000000000000) AS place FROM customer) ORDER BY rank")
+def natural_sort_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "customer").select("c_custkey", "c_name", T.trailing_number(F.col("c_name")).alias("place"))
+    return sampling.ranked(names, ["place", "c_name", "c_custkey"], "rank").orderBy("rank")
+
+
 @query("SELECT p_brand, 'duplicate id' AS problem FROM part GROUP BY p_brand HAVING count(*) > 1 UNION ALL SELECT p_brand, 'tags below 3' FROM part WHERE len(string_split(p_name, ' ')) < 3")
 def pool_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.violations(table(spark, sf_dir, "part").select("p_brand", F.split("p_name", " ").alias("tags")), "p_brand", tags=3)

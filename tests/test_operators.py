@@ -1,5 +1,6 @@
 import json
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +131,22 @@ def test_streams(spark, tmp_path):
     assert sorted((r.run_hash, r.seq) for r in spark.read.parquet(f"{tmp_path}/state/version=1").collect()) == [("a", 9), ("b", 4)]
 
 
+def test_natural_sort_ranks_every_customer(spark):
+    out = catalogue.QUERIES["natural_sort_all"](spark, "/root/testdata/sf0.01").collect()
+    names = spark.read.parquet("/root/testdata/sf0.01/customer.parquet").select("c_custkey", "c_name").collect()
+    assert len(out) == len(names) > 50 and [r.rank for r in out] == list(range(1, len(out) + 1))
+    place = lambda c: int(m[0]) if (m := re.search("[0-9]+$", c)) else 10**18
+    assert [(r.place, r.c_name, r.c_custkey) for r in out] == sorted((place(r.c_name), r.c_name, r.c_custkey) for r in names)
+
+
+def test_ranked_over_many_parts(spark):
+    rows = [(f"c{i % 700}" if i % 9 else None, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "name string, i long").repartition(7).withColumn("place", T.trailing_number(F.col("name")))
+    out = {r["rank"]: r.i for r in sampling.ranked(df, ["place", "i"], "rank").collect()}
+    assert [out[n] for n in range(1, 3001)] == [i for _, i in sorted((int(c[1:]) if c else 10**18, i) for c, i in rows)]
+    assert sampling.ranked(df.where("i < 0"), ["place", "i"], "rank").count() == 0
+
+
 def test_packing_fills_bins_of_every_batch(spark):
     size = {r.doc_id: (r.lang, r.n_chars) for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "lang", "n_chars").collect()}
     got = {}
