@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the session's own folder where one is set, a new one otherwise."""
+    """Make checkpoint() usable: the session's own folder; a temporary one only where everything is one machine."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievemill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sievemill-"))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,15 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut: written as a table to the folder of checkpoints that all executors share."""
     folder = shared_folder(df.sparkSession)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out.cut_folder = folder
+    return out
 
 
 def release(*tables: DataFrame) -> None:
     """Delete tables of cut() that nothing reads any more."""
     for df in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -17,21 +17,23 @@ repetitions have ordered bands besides.
 
 1. Texts with equal word sequences are one node (128-bit key); copies are never paired.
 2. Nodes with an equal band meet in a bucket. A bucket is never expanded into pairs: all members
-   are compared with one centre, the member that meets most others over all its buckets.
-   Members that the centre does not confirm are compared with the next centre of the bucket, in
-   ``max_rounds`` rounds. The links so far make classes. A bucket is settled if all its pairs
-   across classes have been compared, which counts show; the members of all other buckets go to
-   an exact search (``rest``): the rarest shingles of a text, so many that no similar text can
+   are compared once with its centre, the member that meets most others over all its buckets. The
+   links make classes.
+3. A bucket whose members are of one class, but for its centre, is settled: all its other pairs
+   are of that class. The members of the rest, each once, however many buckets it is in, go to an exact search
+   across classes (``rest``): the rarest shingles of a text, so many that no similar text can
    lack them all, are its keys, and the texts of different classes under one key are compared
    in blocks of centres until none is left.
-3. A pair is confirmed if the Jaccard similarity of its five-word shingles is at least
+4. A pair is confirmed if the Jaccard similarity of its five-word shingles is at least
    ``threshold`` and the word-level edit similarity, by alignment within the band of diagonals
-   that the threshold allows, is at least ``threshold`` too.
-4. Confirmed links make classes by alternating large-star and small-star steps, until they
-   change nothing.
+   that the threshold allows, is at least ``threshold`` too. Comparisons read 64-bit hashes of
+   the words, which are made once a node.
+5. Confirmed links make classes: tasks turn the links they hold into stars, large-star and
+   small-star steps join these across tasks, until they fit together.
 
-Nothing is collected but counts. Centres' texts may be hot: the joins are sort-merge joins that
-adaptive execution splits. Lineage is cut by reliable checkpoints.
+Nothing is collected but counts, a table of shingle counts of fixed size, and Bloom filters of
+bounded size, which only spare texts a shuffle. Hot buckets and centres are joined by
+sort-merge joins that adaptive execution splits. Lineage is cut by tables in the shared folder.
 
 Edge cases: null and empty texts have no words and are copies of each other; a text of fewer
 than five words has one shingle; a repeated row is a copy, and of rows with one doc_id and
@@ -42,14 +44,15 @@ never names one (class_id is null if no other member has an id); extra columns a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import cut, map_arrow, release
 from .textvec import LOWER, U64, buffers, chunks, doc_slices, mix, prefix, shingles, span_hash, words
@@ -57,6 +60,10 @@ from .textvec import LOWER, U64, buffers, chunks, doc_slices, mix, prefix, shing
 K, ELL = 5, 2
 TOP = U64(0xFFFFFFFFFFFFFFFF)
 SLOTS, BLOCK = 1 << 20, 256
+#: Most bits of a Bloom filter, as a power of two: 16 MB.
+FILTER_BITS = 27
+#: Edges that a task turns into stars at once.
+EDGES = 1 << 19
 SEEDS = mix(np.arange(1, 4097).astype(U64))
 #: The label of a first occurrence.
 FIRST = mix(np.zeros(1, U64) + U64(77))
@@ -128,7 +135,7 @@ def text_key(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, key, bands of every row; bands are null where a text has no words."""
+    """doc_id, rid, key, bands of every row; bands are null where a text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,9 +150,9 @@ def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 for n in range(j - i):
                     keys.append(text_key(low, s[word_at[n] : word_at[n + 1]], e[word_at[n] : word_at[n + 1]]))
                     found.append(all_bands(lab[at[n] : at[n + 1]], first[at[n] : at[n + 1]], bands, rows) if at[n + 1] > at[n] else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "rid", "key", "bands"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, key binary, bands array<long>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_id().alias("rid")), run, "doc_id long, rid long, key binary, bands array<long>")
 
 
 def common_prefix(ha: np.ndarray, hb: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -203,12 +210,21 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
 
 
 class Text:
-    def __init__(self, text: str | None) -> None:
-        data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-        a, b, doc, self.words = words(data, np.array([0, len(data)]))
-        h, _, _ = shingles(self.words, doc, 1, K)
+    """A text's words, as hashes in order, and its distinct shingles."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.words = hashes
+        h, _, _ = shingles(hashes, np.zeros(len(hashes), np.int64), 1, K)
         self.shingles = np.unique(h)
-        self.key = text_key(LOWER[data], a, b)
+
+    @classmethod
+    def of(cls, text: str | None) -> Text:
+        data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+        return cls(words(data, np.array([0, len(data)]))[3])
+
+    @classmethod
+    def packed(cls, value: bytes) -> Text:
+        return cls(np.frombuffer(value, U64))
 
 
 def similar(a: Text, b: Text, threshold: float) -> bool:
@@ -224,73 +240,114 @@ def similar(a: Text, b: Text, threshold: float) -> bool:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (key, centre) that the alignment confirms."""
-    joined = pairs.join(texts, "key").join(texts.select(F.col("key").alias("centre"), F.col("text").alias("centre_text")), "centre").select("key", "centre", "text", "centre_text")
+    """The pairs (key, centre) that the alignment confirms; texts: key, words."""
+    joined = pairs.join(texts, "key").join(texts.select(F.col("key").alias("centre"), F.col("words").alias("centre_words")), "centre").select("key", "centre", "words", "centre_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[bytes, str | None, Text | None] = (b"", None, None)
+        held: tuple[bytes, Text | None] = (b"", None)
         for b in batches:
-            keys, centres = b.column(0).to_pylist(), b.column(1).to_pylist()
+            centres = b.column(1).to_pylist()
             keep = np.zeros(b.num_rows, bool)
             for n in range(b.num_rows):
                 if held[0] != centres[n]:
-                    held = (centres[n], None, Text(b.column(3)[n].as_py()))
-                keep[n] = similar(Text(b.column(2)[n].as_py()), held[2], threshold)
+                    held = (centres[n], Text.packed(b.column(3)[n].as_py()))
+                keep[n] = similar(Text.packed(b.column(2)[n].as_py()), held[1], threshold)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["key", "centre"]).filter(pa.array(keep))
 
     return map_arrow(joined, run, "key binary, centre binary")
 
 
-def links(nodes: DataFrame, docs: DataFrame, threshold: float, max_rounds: int) -> DataFrame:
-    """Confirmed links (key, centre) between nodes."""
-    rows = nodes.where("bands is not null").select("key", F.posexplode("bands").alias("n", "band")).select(F.xxhash64("n", "band").alias("b"), "key")
-    shared = cut(rows.join(rows.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "b"))
-    # how many others a node meets, over all its buckets: the higher, the better a centre
-    rank = shared.groupBy("key").agg(F.sum("c").alias("met"))
-    rows = cut(shared.drop("c").join(rank, "key"))
-    need = rows.select("key").distinct().join(nodes.select("key", "rep"), "key")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(need, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "text")
-    texts = cut(own_texts(texts))
-    found = tested = apart = None
-    for turn in range(max_rounds):
-        centres = rows.groupBy("b").agg(F.max(F.struct("met", "key")).alias("best"), F.count(F.lit(1)).alias("c")).where("c > 1").select("b", F.col("best.key").alias("centre"))
-        met = cut(rows.join(centres, "b").where("key <> centre"))
-        if not turn:
-            release(rows)
-        pairs = met.select("key", "centre").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["key", "centre"], "left_anti")
-        pairs = cut(pairs)
-        if turn and pairs.isEmpty():
-            break
-        new = cut(verify(pairs, texts, threshold))
-        found = new if found is None else found.unionAll(new)
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        open_ = cut(met.join(found, ["key", "centre"], "left_anti"))
-        release(met)
-        apart = open_ if apart is None else apart.unionAll(open_)
-        rows = open_.drop("centre")
-    label = cut(classes(found))
-    left = unsettled(shared, apart, label)
-    release(shared, apart)
-    out = found.unionAll(rest(left, tested, texts, threshold))
-    release(texts)
-    return out
+def row_id() -> Column:
+    """64 bits of a row's doc_id and text; equal rows share them."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
+def bits_of(h: np.ndarray, size: int) -> np.ndarray:
+    """Four bits of a table of size bits (a power of two) for each hash, a row a bit."""
+    x = mix(h.view(U64))
+    return np.stack([(x >> U64(s)) * U64(0x9E3779B97F4A7C15) >> U64(64 - size.bit_length() + 1) for s in (0, 11, 23, 37)]).astype(np.int64)
+
+
+def maybe_in(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test of whether a row id may be among ids (one long column): a Bloom filter, with no false negatives.
+
+    About 10 bits an id, at most FILTER_BITS in all whatever the number of ids. It only spares rows
+    a shuffle; a join decides, so a fuller filter costs time and changes no result.
+    """
+    column = ids.columns[0]
+    size = 1 << min(FILTER_BITS, max(16, (10 * ids.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size // 64, U64)
+        for b in batches:
+            at = bits_of(b.column(0).to_numpy(), size).ravel()
+            np.bitwise_or.at(table, at >> 6, U64(1) << (at & 63).astype(U64))
+        at = np.flatnonzero(table)
+        for i in range(0, len(at), 1 << 16):
+            part = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(table[part].view(np.int64))], ["at", "bits"])
+
+    rows = map_arrow(ids.select(column), run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(size // 64, np.int64)
+    table[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(table.view(U64))
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        at = bits_of(h.to_numpy(), size)
+        return pd.Series(((shared.value[at >> 6] >> (at & 63).astype(U64)) & U64(1)).astype(bool).all(axis=0))
+
+    return test
+
 
+def word_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, words (64-bit hashes, packed) of nodes (key, rid), each once; only rows that may be asked for are shuffled."""
 
-def unsettled(shared: DataFrame, apart: DataFrame, label: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = buffers(b.column(0))
+            for i, j, x, o in chunks(data, offsets):
+                s, e, doc, wh = words(x, o)
+                at, low = doc_slices(doc, j - i), LOWER[x]
+                own = [slice(at[n], at[n + 1]) for n in range(j - i)]
+                yield pa.RecordBatch.from_arrays([pa.array([text_key(low, s[w], e[w]) for w in own], pa.binary()), pa.array([wh[w].tobytes() for w in own], pa.binary())], ["key", "words"])
+
+    asked = maybe_in(nodes.select("rid"))
+    rows = docs.select("text", row_id().alias("rid")).where(asked("rid")).select("text")
+    return map_arrow(rows, run, "key binary, words binary").dropDuplicates(["key"]).join(nodes.select("key"), "key", "left_semi")
+
+
+def links(nodes: DataFrame, docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Confirmed links (key, centre) between nodes (key, rid, bands): as classes (key, label) of those found by buckets, and the others."""
+    rows = nodes.where("bands is not null").select("key", "rid", F.posexplode("bands").alias("n", "band")).select(F.xxhash64("n", "band").alias("b"), "key", "rid")
+    shared = cut(rows.join(rows.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "b"))
+    # how many others a node meets, over all its buckets: the higher, the better a centre
+    rank = cut(shared.groupBy("key").agg(F.sum("c").alias("met"), F.min("rid").alias("rid")))
+    texts = cut(word_table(docs, rank))
+    rows = cut(shared.select("b", "key").join(rank.select("key", "met"), "key"))
+    release(shared)
+    centres = rows.groupBy("b").agg(F.max(F.struct("met", "key")).alias("best")).select("b", F.col("best.key").alias("centre"))
+    met = cut(rows.join(centres, "b").where("key <> centre").select("b", "key", "centre"))
+    release(rows, rank)
+    tested = cut(met.select("key", "centre").distinct())
+    found = cut(verify(tested, texts, threshold))
+    label = classes(found)
+    release(found)
+    left = unsettled(met, label)
+    release(met)
+    more = rest(left, tested, texts, threshold)
+    release(left, tested, texts)
+    return label, more
+
+
+def unsettled(met: DataFrame, label: DataFrame) -> DataFrame:
     """key, label of the members of buckets with a pair across classes that was never compared.
 
-    shared: b, key; apart: b, key, centre that were compared and not confirmed (each pair once a
-    bucket); label: key, label of linked nodes.
+    met: b, key, centre: a bucket's members but for the centre, all compared with it. So the pairs
+    never compared are those among them, and all are within a class if the members have one label.
     """
-    members = shared.select("b", "key").join(label, "key", "left").select("b", "key", F.coalesce("label", "key").alias("label"))
-    groups = members.groupBy("b", "label").agg(F.count(F.lit(1)).alias("n"))
-    across = groups.groupBy("b").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("pairs")).where("pairs > 0")
-    of_centre = label.select(F.col("key").alias("centre"), F.col("label").alias("centre_label"))
-    done = apart.select("b", "key", "centre").join(label, "key", "left").join(of_centre, "centre", "left")
-    done = done.where(F.coalesce("label", "key") != F.coalesce("centre_label", "centre")).groupBy("b").agg(F.count(F.lit(1)).alias("done"))
-    buckets = across.join(done, "b", "left").where("pairs > coalesce(done, 0)").select("b")
+    members = met.select("b", "key").join(label, "key", "left").select("b", "key", F.coalesce("label", "key").alias("label"))
+    buckets = members.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("b")
     return cut(members.join(buckets, "b", "left_semi").select("key", "label").distinct())
 
 
@@ -305,8 +362,8 @@ def rare_first(texts: DataFrame, threshold: float) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SLOTS, np.int64)
         for b in batches:
-            for text in b.column(2):
-                np.add.at(n, (Text(text.as_py()).shingles & U64(SLOTS - 1)).astype(np.int64), 1)
+            for value in b.column(2):
+                np.add.at(n, (Text.packed(value.as_py()).shingles & U64(SLOTS - 1)).astype(np.int64), 1)
         at = np.flatnonzero(n)
         for i in range(0, len(at), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + (1 << 16)]), pa.array(n[at[i : i + (1 << 16)]])], ["slot", "n"])
@@ -320,7 +377,7 @@ def rare_first(texts: DataFrame, threshold: float) -> DataFrame:
         n_of = shared.value
         for b in batches:
             for i in range(b.num_rows):
-                h = Text(b.column(2)[i].as_py()).shingles
+                h = Text.packed(b.column(2)[i].as_py()).shingles
                 n = n_of[(h & U64(SLOTS - 1)).astype(np.int64)]
                 # one more for rounding, which only adds keys
                 first = np.lexsort((h, n))[: len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1]
@@ -336,7 +393,8 @@ def rest(nodes: DataFrame, tested: DataFrame, texts: DataFrame, threshold: float
     found = texts.sparkSession.createDataFrame([], "key binary, centre binary")
     if nodes.isEmpty():
         return found
-    keyed = rare_first(nodes.join(texts, "key").select("key", "label", "text"), threshold)
+    own = cut(nodes.join(texts, "key").select("key", "label", "words"))
+    keyed = rare_first(own, threshold)
     groups = keyed.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
     # under each key, all members but those of the largest class are centres in turn
     rows = cut(keyed.join(groups.where("labels > 1").select("h", F.col("most.label").alias("largest")), "h"))
@@ -352,61 +410,88 @@ def rest(nodes: DataFrame, tested: DataFrame, texts: DataFrame, threshold: float
         centres = cut(todo.groupBy("h", F.pmod(F.xxhash64("key"), F.lit(BLOCK)).alias("part")).agg(best).select("h", F.col("best.key").alias("centre"), F.col("best.label").alias("of"), F.col("best.size").alias("long"), F.col("best.at").alias("place")))
         met = rows.join(centres, "h").where((F.col("label") != F.col("of")) & enough)
         pairs = cut(met.select(*pair).distinct().join(tested, ["key", "centre"], "left_anti"))
-        found = found.unionAll(cut(verify(pairs, texts, threshold)))
+        found = found.unionAll(cut(verify(pairs, own.select("key", "words"), threshold)))
         tested = tested.unionAll(pairs)
         old, todo = todo, cut(todo.join(centres.select("h", F.col("centre").alias("key")), ["h", "key"], "left_anti"))
         release(centres, *([old] if turn else []))
         turn += 1
-    release(rows, todo)
+    release(rows, own, *([todo] if turn else []))
     return found
 
 
-def own_texts(texts: DataFrame) -> DataFrame:
-    """Rows whose text has the key (a doc_id may stand for several texts)."""
+def contracted(edges: DataFrame) -> DataFrame:
+    """u, v: edges with the same components, for every block of an Arrow task's edges a star around its smallest node."""
+
+    def stars(u: pa.Array, v: pa.Array) -> pa.RecordBatch:
+        nodes = pa.concat_arrays([u, v]).dictionary_encode()
+        order = pc.sort_indices(nodes.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        at = place[nodes.indices.to_numpy()]
+        a, b = at[: len(u)], at[len(u) :]
+        root = np.arange(len(order))
+        while True:
+            low = np.minimum(root[a], root[b])
+            before = root.copy()
+            np.minimum.at(root, a, low)
+            np.minimum.at(root, b, low)
+            np.minimum.at(root, before[a], low)
+            np.minimum.at(root, before[b], low)
+            root = root[root]
+            if (root == before).all():
+                break
+        names, move = nodes.dictionary.take(pa.array(order)), np.flatnonzero(root != np.arange(len(order)))
+        return pa.RecordBatch.from_arrays([names.take(pa.array(move)), names.take(pa.array(root[move]))], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            data, offsets = buffers(b.column(1))
-            for i, j, x, o in chunks(data, offsets):
-                s, e, doc, _ = words(x, o)
-                at, low = doc_slices(doc, j - i), LOWER[x]
-                for n in range(j - i):
-                    keep[i + n] = text_key(low, s[at[n] : at[n + 1]], e[at[n] : at[n + 1]]) == b.column(0)[i + n].as_py()
-            yield b.filter(pa.array(keep))
+            held.append(b)
+            n += b.num_rows
+            if n >= EDGES:
+                yield stars(*(pa.concat_arrays([x.column(k) for x in held]) for k in (0, 1)))
+                held, n = [], 0
+        if n:
+            yield stars(*(pa.concat_arrays([x.column(k) for x in held]) for k in (0, 1)))
 
-    return map_arrow(texts, run, texts.schema)
+    return cut(map_arrow(edges.select("u", "v"), run, "u binary, v binary"))
 
 
 def classes(edges: DataFrame) -> DataFrame:
-    """key, label: the smallest key of each node's component (nodes without a link are left out)."""
-    edges = cut(edges.select(F.greatest("key", "centre").alias("u"), F.least("key", "centre").alias("v")).where("u <> v").distinct())
-    before = None
+    """key, label: the smallest key of each node's component (nodes without a link are left out); edges: two columns of keys.
+
+    Tasks turn their own edges into stars; if those fit together, they are the classes. Otherwise a
+    large-star and a small-star step join them, and so on.
+    """
+    a, b = edges.columns
+    edges = contracted(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v"))
     while True:
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").isEmpty():
+            return edges.select(F.col("u").alias("key"), F.col("v").alias("label"))
+        both = edges.unionAll(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        old, edges = edges, cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v"))).distinct())
-        release(old)
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("key"), F.col("v").alias("label"))
+        old = edges
+        joined = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v"))))
+        edges = contracted(joined)
+        release(old, joined)
 
 
-def grouped(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 2, max_rounds: int = 6) -> DataFrame:
-    """doc_id, key of its text, label of its class, class_id, class_size of every row of docs."""
+def grouped(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 2) -> DataFrame:
+    """doc_id, rid, key of its text, label of its class, class_id, class_size of every row of docs."""
     base = cut(sketch(docs, bands, rows))
-    nodes = cut(base.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("bands").alias("bands")))
-    label = classes(links(nodes, docs, threshold, max_rounds))
+    nodes = cut(base.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
+    label, more = links(nodes, docs, threshold)
+    if not more.isEmpty():
+        label = classes(label.unionAll(more))
     nodes = nodes.select("key", "rep", "copies").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     # a label's members are summed before they are joined, so a large class is no large task
     whole = nodes.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
     named = nodes.select("key", "label").join(whole, "label")
-    return base.select("doc_id", "key").join(named, "key").select("doc_id", "key", "label", "class_id", "class_size")
+    return base.select("doc_id", "rid", "key").join(named, "key").select("doc_id", "rid", "key", "label", "class_id", "class_size")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -418,28 +503,14 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The row of each class with the smallest doc_id, columns as they are; rows without an id stay.
 
     Where a doc_id stands for several texts, its rows are told apart by the keys of their texts: of
-    the class's rows with that id the smallest key stays, and of its rows the smallest text.
+    the class's rows with that id the smallest key stays, and of its rows the smallest text. Only
+    rows of classes of several rows are shuffled (and the few that the filter takes for such).
     """
-    groups = cut(grouped(docs, **options))
-    first = groups.where("doc_id = class_id")
-    several = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(first.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
-    if not several.isEmpty():
-        several = cut(several)
-        kept = kept.join(several, "doc_id", "left_anti").select(*docs.columns)
-        chosen = first.join(several, "doc_id", "left_semi").groupBy("label").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key")).select("doc_id", "key")
-        rows = with_keys(docs.join(several, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*docs.columns).alias("row")))
-        one = rows.join(chosen, ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.min_by("row", F.struct("text", F.to_json("row"))).alias("row"))
-        kept = kept.unionAll(one.select("row.*"))
-    return kept.unionAll(docs.where("doc_id is null"))
-
-
-def with_keys(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, row) with the key of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = pa.array([Text(t.as_py()).key for t in b.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, keys], ["doc_id", "text", "row", "key"])
-
-    return map_arrow(rows, run, StructType([*rows.schema.fields, StructField("key", BinaryType())]))
+    groups = cut(grouped(docs, **options).where("doc_id is not null").select("doc_id", "rid", "key", "label"))
+    first = cut(groups.groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count(F.lit(1)).alias("rows")))
+    asked = maybe_in(groups.join(first.where("rows > 1"), "label", "left_semi").select("rid"))
+    chosen = groups.join(first, "label").where("doc_id = first.doc_id and key = first.key").select(F.col("doc_id").alias("id"), "rid", "label").distinct()
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), row_id().alias("rid"))
+    kept = rows.where("id is not null").where(asked("rid")).join(chosen, ["id", "rid"])
+    kept = kept.groupBy("label").agg(F.min_by("row", F.struct("row.text", F.to_json("row"))).alias("row"))
+    return rows.where(F.col("id").isNull() | ~asked("rid")).select("row.*").unionAll(kept.select("row.*"))

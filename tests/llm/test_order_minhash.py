@@ -131,8 +131,7 @@ def drifting(rng, groups, size, length=100):
 def test_chains_under_common_centres_lose_no_link(spark):
     docs = drifting(random.Random(3), 6, 14)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    for rounds in (1, 6):
-        assert sorted([tuple(r) for r in o.near_duplicates(df, max_rounds=rounds).collect()], key=str) == brute(docs)
+    assert sorted([tuple(r) for r in o.near_duplicates(df).collect()], key=str) == brute(docs)
 
 
 def test_exact_search_finds_all_links_across_classes(spark, monkeypatch):
@@ -141,16 +140,44 @@ def test_exact_search_finds_all_links_across_classes(spark, monkeypatch):
     passage = " ".join(f"p{i}" for i in range(60))
     docs = drifting(rng, 3, 6) + [(100 + i, f"{passage} " + " ".join(rng.choice("abcdefghij") + str(rng.randrange(99)) for _ in range(60))) for i in range(12)]
     k = lambda i: i.to_bytes(2, "big")
-    texts = o.cut(spark.createDataFrame([(k(i), t) for i, t in docs], "key binary, text string"))
+    texts = o.cut(spark.createDataFrame([(k(i), o.Text.of(t).words.tobytes()) for i, t in docs], "key binary, words binary"))
     tested = spark.createDataFrame([(k(0), k(1))], "key binary, centre binary")
     got = {(int.from_bytes(r.key, "big"), int.from_bytes(r.centre, "big")) for r in o.rest(texts.select("key", F.col("key").alias("label")), tested, texts, 0.8).collect()}
-    want = {(i, j) for i, t in docs for j, u in docs if i < j and o.similar(o.Text(t), o.Text(u), 0.8)} - {(0, 1)}
+    want = {(i, j) for i, t in docs for j, u in docs if i < j and o.similar(o.Text.of(t), o.Text.of(u), 0.8)} - {(0, 1)}
     assert got == want and len(want) > 10
 
 
 def test_no_nodes_no_links(spark):
     none = spark.createDataFrame([], "key binary, label binary")
-    assert o.rest(none, none.select("key", F.col("label").alias("centre")), spark.createDataFrame([], "key binary, text string"), 0.8).count() == 0
+    assert o.rest(none, none.select("key", F.col("label").alias("centre")), spark.createDataFrame([], "key binary, words binary"), 0.8).count() == 0
+
+
+def test_classes_across_tasks(spark, monkeypatch):
+    monkeypatch.setattr(o, "EDGES", 7)
+    rng = random.Random(6)
+    k = lambda i: i.to_bytes(2, "big")
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(500 + i, 501 + i) for i in range(90)]
+    parent = list(range(600))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    rows = spark.createDataFrame([(k(a), k(b)) for a, b in edges], "key binary, centre binary").repartition(6)
+    got = {(int.from_bytes(r.key, "big"), int.from_bytes(r.label, "big")) for r in o.classes(rows).collect()}
+    assert got == {(i, find(i)) for i in {x for e in edges for x in e} if find(i) != i}
+
+
+def test_filter_has_no_false_negatives(spark):
+    ids = spark.range(5000).select(F.xxhash64("id").alias("rid"))
+    test = o.maybe_in(ids)
+    assert ids.where(test("rid")).count() == 5000
+    assert spark.range(5000, 25000).select(F.xxhash64("id").alias("rid")).where(test("rid")).count() < 1000
+    assert ids.where(o.maybe_in(ids.limit(0))("rid")).count() == 0
 
 
 def test_edits_of_a_repeated_line_are_found(spark):
