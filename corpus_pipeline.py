@@ -6,12 +6,10 @@ read again as the next one's docs. All but the last return the columns of docume
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from sievemill.llm import decontaminate, line_dedup, mixing, order_minhash, quality_crf
-from sievemill.llm.common import table, with_checkpoints
+from sievemill.llm.common import shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +44,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between them is written to the session's shared folder."""
-    with_checkpoints(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; what lies between them is written to the session's shared folder.
+
+    Null texts are kept or dropped like empty ones, an empty table passes through all stages, and
+    extra columns of documents are carried to the end (but for those that the last stage adds).
+    """
+    folder = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

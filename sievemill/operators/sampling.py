@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..llm.common import cut
+from ..sources.tables import cut
 
 
 def sha_rank(seed: str, key: str) -> Column:
