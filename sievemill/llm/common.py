@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import cut, release, shared_folder, with_checkpoints  # noqa: F401  for the modules of this subpackage
+
 #: Records an Arrow batch may hold; bounds a Python worker's memory when texts are long.
 BATCH_RECORDS = 512
 
@@ -17,36 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the session's own folder; a temporary one only where everything is one machine."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sievemill-"))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    with_checkpoints(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/sievemill-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: written as a table to the folder of checkpoints that all executors share."""
-    folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
-    out = df.sparkSession.read.schema(df.schema).parquet(folder)
-    out.cut_folder = folder
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete tables of cut() that nothing reads any more."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.cut_folder)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Lower the records of an Arrow batch to BATCH_RECORDS unless they are lower already."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -59,10 +59,10 @@ from .textvec import LOWER, U64, buffers, chunks, doc_slices, mix, prefix, shing
 
 K, ELL = 5, 2
 TOP = U64(0xFFFFFFFFFFFFFFFF)
-SLOTS, BLOCK = 1 << 20, 256
+SLOTS, BLOCK = 1 << 20, 4096
 #: Most bits of a Bloom filter, as a power of two: 16 MB.
 FILTER_BITS = 27
-#: Edges that a task turns into stars at once.
+#: Edges of a task that turns them into stars, about; it does not hold more than twice as many.
 EDGES = 1 << 19
 SEEDS = mix(np.arange(1, 4097).astype(U64))
 #: The label of a first occurrence.
@@ -320,17 +320,17 @@ def word_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Confirmed links (key, centre) between nodes (key, rid, bands): as classes (key, label) of those found by buckets, and the others."""
     rows = nodes.where("bands is not null").select("key", "rid", F.posexplode("bands").alias("n", "band")).select(F.xxhash64("n", "band").alias("b"), "key", "rid")
-    shared = cut(rows.join(rows.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "b"))
+    shared = cut(rows.join(rows.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "b"), shuffled=True)
     # how many others a node meets, over all its buckets: the higher, the better a centre
-    rank = cut(shared.groupBy("key").agg(F.sum("c").alias("met"), F.min("rid").alias("rid")))
-    texts = cut(word_table(docs, rank))
-    rows = cut(shared.select("b", "key").join(rank.select("key", "met"), "key"))
+    rank = cut(shared.groupBy("key").agg(F.sum("c").alias("met"), F.min("rid").alias("rid")), shuffled=True)
+    texts = cut(word_table(docs, rank), shuffled=True)
+    rows = cut(shared.select("b", "key").join(rank.select("key", "met"), "key"), shuffled=True)
     release(shared)
     centres = rows.groupBy("b").agg(F.max(F.struct("met", "key")).alias("best")).select("b", F.col("best.key").alias("centre"))
-    met = cut(rows.join(centres, "b").where("key <> centre").select("b", "key", "centre"))
+    met = cut(rows.join(centres, "b").where("key <> centre").select("b", "key", "centre"), shuffled=True)
     release(rows, rank)
-    tested = cut(met.select("key", "centre").distinct())
-    found = cut(verify(tested, texts, threshold))
+    tested = cut(met.select("key", "centre").distinct(), shuffled=True)
+    found = cut(verify(tested, texts, threshold), shuffled=True)
     label = classes(found)
     release(found)
     left = unsettled(met, label)
@@ -348,7 +348,7 @@ def unsettled(met: DataFrame, label: DataFrame) -> DataFrame:
     """
     members = met.select("b", "key").join(label, "key", "left").select("b", "key", F.coalesce("label", "key").alias("label"))
     buckets = members.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("b")
-    return cut(members.join(buckets, "b", "left_semi").select("key", "label").distinct())
+    return cut(members.join(buckets, "b", "left_semi").select("key", "label").distinct(), shuffled=True)
 
 
 def rare_first(texts: DataFrame, threshold: float) -> DataFrame:
@@ -393,11 +393,11 @@ def rest(nodes: DataFrame, tested: DataFrame, texts: DataFrame, threshold: float
     found = texts.sparkSession.createDataFrame([], "key binary, centre binary")
     if nodes.isEmpty():
         return found
-    own = cut(nodes.join(texts, "key").select("key", "label", "words"))
+    own = cut(nodes.join(texts, "key").select("key", "label", "words"), shuffled=True)
     keyed = rare_first(own, threshold)
     groups = keyed.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
     # under each key, all members but those of the largest class are centres in turn
-    rows = cut(keyed.join(groups.where("labels > 1").select("h", F.col("most.label").alias("largest")), "h"))
+    rows = cut(keyed.join(groups.where("labels > 1").select("h", F.col("most.label").alias("largest")), "h"), shuffled=True)
     release(keyed)
     todo = rows.where("label <> largest").select("h", "key", "label", "size", "at")
     # at the first key that two similar texts share, what both have left must hold all they share
@@ -407,12 +407,12 @@ def rest(nodes: DataFrame, tested: DataFrame, texts: DataFrame, threshold: float
     turn = 0
     while not todo.isEmpty():
         best = F.min(F.struct("key", "label", "size", "at")).alias("best")
-        centres = cut(todo.groupBy("h", F.pmod(F.xxhash64("key"), F.lit(BLOCK)).alias("part")).agg(best).select("h", F.col("best.key").alias("centre"), F.col("best.label").alias("of"), F.col("best.size").alias("long"), F.col("best.at").alias("place")))
+        centres = cut(todo.groupBy("h", F.pmod(F.xxhash64("key"), F.lit(BLOCK)).alias("part")).agg(best).select("h", F.col("best.key").alias("centre"), F.col("best.label").alias("of"), F.col("best.size").alias("long"), F.col("best.at").alias("place")), shuffled=True)
         met = rows.join(centres, "h").where((F.col("label") != F.col("of")) & enough)
-        pairs = cut(met.select(*pair).distinct().join(tested, ["key", "centre"], "left_anti"))
-        found = found.unionAll(cut(verify(pairs, own.select("key", "words"), threshold)))
+        pairs = cut(met.select(*pair).distinct().join(tested, ["key", "centre"], "left_anti"), shuffled=True)
+        found = found.unionAll(cut(verify(pairs, own.select("key", "words"), threshold), shuffled=True))
         tested = tested.unionAll(pairs)
-        old, todo = todo, cut(todo.join(centres.select("h", F.col("centre").alias("key")), ["h", "key"], "left_anti"))
+        old, todo = todo, cut(todo.join(centres.select("h", F.col("centre").alias("key")), ["h", "key"], "left_anti"), shuffled=True)
         release(centres, *([old] if turn else []))
         turn += 1
     release(rows, own, *([todo] if turn else []))
@@ -448,7 +448,7 @@ def contracted(edges: DataFrame) -> DataFrame:
         for b in batches:
             held.append(b)
             n += b.num_rows
-            if n >= EDGES:
+            if n >= 2 * EDGES:
                 yield stars(*(pa.concat_arrays([x.column(k) for x in held]) for k in (0, 1)))
                 held, n = [], 0
         if n:
@@ -460,14 +460,18 @@ def contracted(edges: DataFrame) -> DataFrame:
 def classes(edges: DataFrame) -> DataFrame:
     """key, label: the smallest key of each node's component (nodes without a link are left out); edges: two columns of keys.
 
-    Tasks turn their own edges into stars; if those fit together, they are the classes. Otherwise a
-    large-star and a small-star step join them, and so on.
+    Tasks of about EDGES edges turn theirs into stars. Those of a single task are the classes, and
+    so are those of several if they fit together. Otherwise a large-star and a small-star step join
+    them, and so on.
     """
     a, b = edges.columns
-    edges = contracted(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v"))
+    edges = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v"), shuffled=True)
     while True:
+        tasks = max(1, -(-edges.count() // EDGES))
+        old, edges = edges, contracted(edges.coalesce(tasks))
+        release(old)
         ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
-        if ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").isEmpty():
+        if tasks == 1 or ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").isEmpty():
             return edges.select(F.col("u").alias("key"), F.col("v").alias("label"))
         both = edges.unionAll(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -475,15 +479,14 @@ def classes(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         old = edges
-        joined = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v"))))
-        edges = contracted(joined)
-        release(old, joined)
+        edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v"))), shuffled=True)
+        release(old)
 
 
 def grouped(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 2) -> DataFrame:
     """doc_id, rid, key of its text, label of its class, class_id, class_size of every row of docs."""
     base = cut(sketch(docs, bands, rows))
-    nodes = cut(base.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")))
+    nodes = cut(base.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), shuffled=True)
     label, more = links(nodes, docs, threshold)
     if not more.isEmpty():
         label = classes(label.unionAll(more))
@@ -506,8 +509,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     the class's rows with that id the smallest key stays, and of its rows the smallest text. Only
     rows of classes of several rows are shuffled (and the few that the filter takes for such).
     """
-    groups = cut(grouped(docs, **options).where("doc_id is not null").select("doc_id", "rid", "key", "label"))
-    first = cut(groups.groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count(F.lit(1)).alias("rows")))
+    groups = cut(grouped(docs, **options).where("doc_id is not null").select("doc_id", "rid", "key", "label"), shuffled=True)
+    first = cut(groups.groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.count(F.lit(1)).alias("rows")), shuffled=True)
     asked = maybe_in(groups.join(first.where("rows > 1"), "label", "left_semi").select("rid"))
     chosen = groups.join(first, "label").where("doc_id = first.doc_id and key = first.key").select(F.col("doc_id").alias("id"), "rid", "label").distinct()
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), row_id().alias("rid"))
