@@ -4,19 +4,20 @@ Each line has numeric features of its own and those of its neighbours; a two-sta
 learned transitions joins the lines of a document. The marginals of the forward-backward pass,
 weighted by line length, are averaged into the document's score.
 
-Training is on the driver, on at most ``max_train_docs`` labelled documents with at most
-``max_train_chars`` characters each (a bounded sample: the lowest by a hash of doc_id; the only
-cap in this module, and only of training). Every line of a training document takes the
-document's label. Scoring is a map without a shuffle over whole texts.
+Training is one executor task, on at most ``max_train_docs`` labelled documents, whole texts (a
+bounded sample: the lowest by a hash of doc_id; the only cap in this module, and only of
+training). Every line of a training document takes the document's label. Scoring is a map
+without a shuffle over whole texts.
 
 Edge cases: a null or empty text is one empty line and gets a score like any other; repeated
-rows are scored alike; extra columns are left out; labels that are null, and doc_ids that are
-null, are not used for training; without any training row, or with one class only, the score is
-that class's smoothed rate.
+rows are scored alike; extra columns are left out; labels that are null, doc_ids that are null,
+and doc_ids whose labels disagree are not used for training; without any training row, or with
+one class only, the score is that class's smoothed rate.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -207,16 +208,22 @@ def score_batch(model: dict, column: pa.Array) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = 3000, max_train_chars: int = 20_000, seed: str = "crf") -> dict:
+def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = 3000, seed: str = "crf") -> dict:
     """Learn from labelled documents whose crc32(doc_id) mod 3 is not 1."""
-    known = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("most")).where("quality = most")
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    known = known.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).orderBy("h", "doc_id").limit(max_train_docs)
-    picked = {r["doc_id"]: r["quality"] for r in known.select("doc_id", "quality").collect()}
-    wanted = docs.sparkSession.createDataFrame([(k,) for k in picked] or [(-1,)], "doc_id long").where(F.lit(bool(picked)))
-    rows = docs.select("doc_id", F.coalesce(F.substring("text", 1, max_train_chars), F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id", "left_semi").collect()
-    rows = sorted({(r["doc_id"], r["text"]) for r in rows})
-    return train([t for _, t in rows], [picked[i] for i, _ in rows])
+    # at most max_train_docs rows, so they can be broadcast
+    known = F.broadcast(known.select("doc_id", "quality", F.xxhash64(F.lit(seed), "doc_id").alias("h")).orderBy("h", "doc_id").limit(max_train_docs))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id").select("h", "doc_id", "text", "quality")
+    # a doc_id may stand for many rows
+    rows = rows.orderBy("h", "doc_id", "text").limit(max_train_docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = sorted({row for b in batches for row in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))})
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([t for _, t, _ in texts], [q for _, _, q in texts]))], pa.binary())], ["model"])
+
+    found = map_arrow(rows.coalesce(1), run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else train([], [])
 
 
 def quality_scores(docs: DataFrame, model: dict) -> DataFrame:

@@ -52,3 +52,18 @@ def test_scores(spark):
     empty = docs.limit(0)
     assert q.quality_scores(empty, q.fit(empty, labels.limit(0))).count() == 0
     assert {r.doc_id for r in q.keep_good(docs, q.fit(docs, labels)).collect()} >= {1, 3, 5}
+
+
+def test_held_out_labels_of_a_table(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = {r.doc_id: r for r in q.quality_scores(docs, q.fit(docs, labels)).collect()}
+    held = [(out[r.doc_id].predicted, r.quality) for r in labels.collect() if r.doc_id in out and out[r.doc_id].held_out]
+    assert len(held) > 50 and sum(p == y for p, y in held) >= 0.95 * len(held)
+    # predictions do not say one thing only
+    assert {y for _, y in held} == {p for p, _ in held} == {0, 1}
+
+
+def test_labels_that_disagree_are_not_used(spark):
+    docs = spark.createDataFrame([(i, "same words here") for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y, 0) for i in range(30) for y in (0, 1)], "doc_id long, quality int, toxic int")
+    assert q.fit(docs, labels) == {"rate": 0.5}
