@@ -1,7 +1,7 @@
 r"""Chat formatting with typed content parts, in DataFrame functions only.
 
-A turn's content is an array of parts. A visitor flattens the parts in order: text is escaped
-and written as it is; an image, audio or document part becomes a placeholder (``<|image|>``,
+A turn's content is an array of parts. A visitor flattens the parts in order: text, joined with the
+text parts that follow it, is escaped and written as it is; an image, audio or document part becomes a placeholder (``<|image|>``,
 ``<|audio|>``, ``<|document|>``, ``<|attachment|>`` for any other type) and is recorded as an
 attachment with its turn, part, reference and the number of tokens that it expands to.
 
@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import let
+
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 TAIL = r"(?=/?s>|\||/?INST\])"
 OPEN, MIDDLE, CLOSE = "<s>[INST]", "[/INST]", "</s>"
@@ -48,10 +50,30 @@ def expanded_tokens(part: Column, patch: int = 28, audio_rate: int = 25, page_to
     )
 
 
-def visit(part: Column) -> Column:
-    """A part as it stands in the formatted text."""
-    other = F.concat(F.lit("<|"), F.when(part["type"].isin("image", "audio", "document"), part["type"]).otherwise("attachment"), F.lit("|>"))
-    return F.when(F.coalesce(part["type"], F.lit("text")) == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(other)
+def is_text(part: Column) -> Column:
+    return F.coalesce(part["type"], F.lit("text")) == "text"
+
+
+def visit(parts: Column) -> Column:
+    """An array of parts as they stand in the formatted text.
+
+    Neighbouring text parts are escaped as one text, so that a control string may not arise from
+    two of them. (Before and after a placeholder none can: no tail begins with ``<``, and no head
+    ends in ``>``.)
+    """
+
+    def shown(x: Column, first: Column, end: Column) -> Column:
+        part = F.get(x, first)
+        other = F.concat(F.lit("<|"), F.when(part["type"].isin("image", "audio", "document"), part["type"]).otherwise("attachment"), F.lit("|>"))
+        text = F.array_join(F.transform(F.slice(x, first + 1, end - first), lambda p: F.coalesce(p["text"], F.lit(""))), "")
+        return F.when(is_text(part), escape(text)).otherwise(other)
+
+    def joined(x: Column) -> Column:
+        place = F.transform(x, lambda p, i: F.struct(i.alias("i"), is_text(p).alias("t")))
+        firsts = F.transform(F.filter(place, lambda p: ~(p["t"] & F.coalesce(F.get(place, p["i"] - 1)["t"], F.lit(False)))), lambda p: p["i"])
+        return let(firsts, lambda f: F.array_join(F.transform(f, lambda a, k: shown(x, a, F.coalesce(F.get(f, k + 1), F.size(x)))), ""))
+
+    return F.when(F.size(parts) == 0, "").otherwise(let(F.transform(parts, lambda p: p), joined))
 
 
 def text_part(text: Column) -> Column:
@@ -69,7 +91,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     parts = F.filter(F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
     shown = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
     files = F.filter(F.transform("parts", lambda p, i: F.struct((i + 1).alias("part"), p["type"].alias("type"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens"))), lambda x: F.coalesce(x["type"], F.lit("text")) != "text")
-    shown = shown.select("conv_id", "turn", "role", F.array_join(F.transform("parts", visit), "").alias("body"), files.alias("files"))
+    shown = shown.select("conv_id", "turn", "role", visit(F.col("parts")).alias("body"), files.alias("files"))
     shown = shown.withColumn("head", F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE)))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "body")
     placed = shown.select(
@@ -92,13 +114,20 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """formatted with turns (role, text) and loss_text, parsed from the formatted string and the mask."""
+    """formatted with turns (role, text) and loss_text, parsed from the formatted string and the mask.
+
+    A turn's piece is cut out of the formatted string at CLOSE, and a span, by its offsets, out of
+    the piece: so a long conversation is not walked from its start for every span.
+    """
     whole = r"(?s)^<s>\[INST\](.*?)\[/INST\](.*)$"
     pieces = formatted.withColumn("pieces", F.split("formatted", CLOSE))
     pieces = pieces.withColumn("pieces", F.slice("pieces", F.lit(1), F.size("pieces") - 1))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+    step = lambda a, p: F.struct((a["at"] + F.length(p) + len(CLOSE)).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
+    pieces = pieces.withColumn("starts", F.aggregate("pieces", begin, step, lambda a: a["out"]))
     turns = F.transform("pieces", lambda p: F.struct(unescape(F.regexp_extract(p, whole, 1)).alias("role"), unescape(F.regexp_extract(p, whole, 2)).alias("text")))
-    # a span's end is the end of its piece, so its text is the piece's tail
-    masked = F.transform("loss_spans", lambda s: unescape(F.right(F.get("pieces", s["turn"] - 1), (s["end"] - s["start"]).cast("int"))))
+    cut_out = lambda s: F.substring(F.get("pieces", s["turn"] - 1), (s["start"] - F.get("starts", s["turn"] - 1) + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    masked = F.transform("loss_spans", lambda s: unescape(cut_out(s)))
     return pieces.select(*formatted.columns, turns.alias("turns"), F.array_join(masked, "").alias("loss_text"))
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -46,3 +47,36 @@ def test_parts(spark):
     assert [tuple(x) for x in a.attachments] == [(1, 2, "image", "s3://i", 3), (1, 4, "audio", "a.wav", 38), (1, 5, "document", "d.pdf", 768), (2, 2, "video", "v", 1), (2, 3, "image", None, 1)]
     assert [a.formatted[s.start : s.end] for s in a.loss_spans] == ["fine<|attachment|><|image|>"]
     assert b.formatted == "<s>[INST]assistant[/INST]</s><s>[INST]user[/INST]</s>" and b.attachments == [] and [(s.start, s.end) for s in b.loss_spans] == [(25, 25)]
+
+
+def test_control_strings_split_over_parts(spark):
+    rng = random.Random(3)
+    t = lambda s: ("text", s, None, None, None, None, None)
+    rows = [(0, 0, "assistant", [t("<"), t("/s>")]), (0, 1, "assistant", [t("["), t("INST]")]), (0, 2, "assistant", [t("<\\"), t(None), t("s>")]), (0, 3, "assistant", [t("<"), t("|"), t("image|>")])]
+    for i in range(1, 40):
+        for j in range(3):
+            text = "".join(rng.choice(HARD) for _ in range(4))
+            cuts = sorted(rng.randrange(len(text) + 1) for _ in range(rng.randrange(6)))
+            rows.append((i, j, rng.choice(["user", "assistant"]), [t(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)])]))
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{c.PART}>")
+    whole = {i: sorted((j, r, "".join(p[1] or "" for p in ps)) for k, j, r, ps in rows if k == i) for i, *_ in rows}
+    got = {r.conv_id: r for r in c.read_back(c.format_conversations(df)).collect()}
+    for i, turns in whole.items():
+        assert [(x.role, x.text) for x in got[i].turns] == [(r, x) for _, r, x in turns]
+        assert got[i].loss_text == "".join(x for _, r, x in turns if r == "assistant")
+        assert got[i].formatted.count("</s>") == got[i].n_turns
+
+
+def test_placeholders_between_halves_of_a_control_string(spark):
+    t = lambda s: ("text", s, None, None, None, None, None)
+    image = ("image", None, "i", 28, 28, None, None)
+    df = spark.createDataFrame([(1, 0, "user", [t("<"), image, t("/s>"), t("["), image, t("INST]")])], f"conv_id long, turn long, role string, parts array<{c.PART}>")
+    row = c.read_back(c.format_conversations(df)).first()
+    assert row.turns[0].text == "<<|image|>/s>[<|image|>INST]" and row.n_turns == 1
+
+
+def test_loss_text_is_what_the_mask_says(spark):
+    df = spark.createDataFrame([(1, 0, "user", "hello"), (1, 1, "assistant", "to you")], "conv_id long, turn long, role string, text string").withColumn("parts", c.text_part(F.col("text")))
+    formatted = c.format_conversations(df)
+    moved = formatted.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct(s["turn"].alias("turn"), (s["start"] + 3).alias("start"), s["end"].alias("end"))))
+    assert c.read_back(formatted).first().loss_text == "to you" and c.read_back(moved).first().loss_text == "you"
