@@ -35,13 +35,15 @@ WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\x80-\x{10FFFF}]+'), lambda x: x <> '') AS w FROM documents
 ), v AS (
   SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\x80-\x{10FFFF}]+'), lambda x: x <> '') AS w FROM benchmark
+), m AS (
+  SELECT DISTINCT least(len(w), 5) AS m FROM v WHERE len(w) > 0
 ), ds AS (
-  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM w WHERE len(w) > 0
+  SELECT DISTINCT doc_id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i+m-1], ' '))) AS s FROM w, m WHERE len(w) >= m
 ), bs AS (
-  SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM v WHERE len(w) > 0
+  SELECT DISTINCT item_id, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i+m-1], ' '))) AS s FROM (SELECT item_id, w, least(len(w), 5) AS m FROM v WHERE len(w) > 0)
 ), n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, n AS n_item_shingles, count(*) AS n_shared, count(*)::DOUBLE / n AS containment
-FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n
+FROM ds JOIN bs USING (m, s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n
 """
 
 

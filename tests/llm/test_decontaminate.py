@@ -18,7 +18,8 @@ def brute(docs, items, threshold=0.8):
     out = []
     for i, t, *_ in docs:
         for j, u, *_ in items:
-            a, b = shingle_set(t), shingle_set(u)
+            m = min(5, len(re.findall(r"[a-z0-9\x80-\U0010ffff]+", (u or "").lower())))
+            a, b = shingle_set(t, m), shingle_set(u, m)
             if b and len(a & b) >= threshold * len(b):
                 out.append((i, j, len(b), len(a & b)))
     return sorted(out, key=str)
@@ -36,7 +37,7 @@ def cases():
         for _ in range(rng.choice([0, 0, 1, 2])):
             w[rng.randrange(len(w))] = "changed"
         docs.append((i, text(200) + "\n" + " ".join(w).upper() * (1 + i % 2) + ", " + text(3000), 0, ""))
-    docs += [(200, None, 0, ""), (201, "", 0, ""), (202, "Two, words!", 0, ""), (None, items[0][1], 0, ""), (60, docs[60][1], 0, "")]
+    docs += [(200, None, 0, ""), (201, "", 0, ""), (202, "Two, words!", 0, ""), (203, text(50) + ", Two words; " + text(2000), 0, ""), (204, "two wordsandmore two", 0, ""), (None, items[0][1], 0, ""), (60, docs[60][1], 0, "")]
     return docs, items
 
 
@@ -58,3 +59,11 @@ def test_empty_tables(spark):
     assert d.contaminations(a.limit(0), b).count() == 0
     assert d.contaminations(a, b.limit(0)).count() == 0
     assert d.keep_clean(a, b.limit(0)).count() == len(docs)
+
+
+def test_many_items_alike(spark):
+    # items that share shingles, repeat words, and differ by a word
+    items = [(i, "a b a b a b a b " + " ".join(f"x{j}" for j in range(i, i + 12)), 0) for i in range(30)]
+    docs = [(i, "intro words " + items[i][1] + " b a b a " + items[(i + 1) % 30][1], 0, "") for i in range(30)] + [(100, "a b " * 5000, 0, "")]
+    got = d.contaminations(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert sorted([(r.doc_id, r.item_id, r.n_item_shingles, r.n_shared) for r in got], key=str) == brute(docs, items)
