@@ -20,8 +20,9 @@ SPAN - 1 + LENGTH bytes.
 
 A gram with more than ``group_runs`` distinct runs is not sorted in one task: its strings are
 counted by 128-bit hashes in an aggregation with map-side combine. Lists of grams, positions and
-spans are broadcast while they are within ``broadcast_rows`` (checked by counts); beyond, they are
-joined. A hot gram is only ever counted or joined by adaptive sort-merge joins.
+spans are broadcast while they take at most ``broadcast_bytes`` (checked by counts; they are flat
+arrays of eight-byte numbers); beyond, they are joined. A hot gram is only ever counted or joined
+by adaptive sort-merge joins.
 
 Edge cases: null and empty texts, and those shorter than LENGTH, keep all their bytes; a
 repeated row is a document of its own, and repeats itself; a null doc_id is kept; extra columns
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow
+from .common import cut, map_arrow, release
 from .textvec import U64, buffers, chunks, mix, powers, prefix, span_hash
 
 LENGTH, K = 400, 200
@@ -117,9 +118,9 @@ def repeated_grams(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
 
 
-def candidate_runs(docs: DataFrame, grams: DataFrame, broadcast_rows: int) -> DataFrame:
+def candidate_runs(docs: DataFrame, grams: DataFrame, broadcast_bytes: int) -> DataFrame:
     """doc, t, gram, run, at (anchor in the run), lo, hi of the runs whose gram is in grams."""
-    small = grams.count() <= broadcast_rows
+    small = 8 * grams.count() <= broadcast_bytes
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(grams.toArrow().column("gram").to_numpy()) if small else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,23 +141,34 @@ def candidate_runs(docs: DataFrame, grams: DataFrame, broadcast_rows: int) -> Da
     return found if small else found.join(grams, "gram", "left_semi")
 
 
-def with_lists(docs: DataFrame, lists: DataFrame, columns: list[str], broadcast_rows: int, use, schema: str) -> DataFrame:
+def pair_key(doc: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return mix(t.view(U64) + mix(doc.view(U64)))
+
+
+def with_lists(docs: DataFrame, lists: DataFrame, columns: list[str], broadcast_bytes: int, use, schema: str) -> DataFrame:
     """use(batch, data, offsets, per-row arrays of columns or None) over docs; lists: doc, t and columns, a row an entry."""
-    if lists.count() <= broadcast_rows:
+    small = 8 * (3 + len(columns)) * lists.count() <= broadcast_bytes
+    if small:
         rows = lists.select("doc", "t", *columns).toArrow()
         doc, t = (rows.column(c).to_numpy() for c in ("doc", "t"))
-        order = np.lexsort((t, doc))
-        doc, t = doc[order], t[order]
-        new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (t[1:] != t[:-1]))) if len(doc) else np.zeros(0, np.int64)
-        keys = {(int(doc[i]), int(t[i])): n for n, i in enumerate(new)}
-        shared = docs.sparkSession.sparkContext.broadcast((keys, np.append(new, len(doc)), [rows.column(c).to_numpy()[order] for c in columns]))
+        key = pair_key(doc, t)
+        order = np.lexsort((t, doc, key))
+        doc, t, key = doc[order], t[order], key[order]
+        differ = (doc[1:] != doc[:-1]) | (t[1:] != t[:-1])
+        # two documents under one key are as good as impossible, but then the lists are joined
+        small = not (differ & (key[1:] == key[:-1])).any()
+    if small:
+        new = np.flatnonzero(np.append(True, differ)) if len(doc) else np.zeros(0, np.int64)
+        shared = docs.sparkSession.sparkContext.broadcast((key[new], doc[new], t[new], np.append(new, len(doc)), [rows.column(c).to_numpy()[order] for c in columns]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, ends, values = shared.value
+            keys, docs_of, ts, ends, values = shared.value
             for b in batches:
                 data, offsets = buffers(b.column(1))
-                at = [keys.get(k) for k in zip(*(x.tolist() for x in ids_of(b.column(0), data, offsets)))]
-                yield from use(b, data, offsets, [None if n is None else [v[ends[n] : ends[n + 1]] for v in values] for n in at])
+                doc, t = ids_of(b.column(0), data, offsets)
+                at = np.minimum(np.searchsorted(keys, pair_key(doc, t)), max(0, len(keys) - 1))
+                there = (docs_of[at] == doc) & (ts[at] == t) if len(keys) else np.zeros(len(doc), bool)
+                yield from use(b, data, offsets, [[v[ends[n] : ends[n + 1]] for v in values] if ok else None for n, ok in zip(at.tolist(), there.tolist())])
 
         return map_arrow(docs, run, schema)
     grouped = lists.groupBy("doc", "t").agg(F.collect_list(F.struct(*columns)).alias("entries"))
@@ -334,10 +346,10 @@ def resolved(runs: DataFrame, group_runs: int) -> DataFrame:
     return done.unionAll(many.join(twice, "key", "left_semi").select("gram", "run", F.col("start").alias("first"), F.col("start").alias("last")))
 
 
-def repeated_spans(docs: DataFrame, group_runs: int, broadcast_rows: int) -> DataFrame:
-    """doc, t, begin, end: spans of bytes to remove (they may overlap)."""
+def repeated_spans(docs: DataFrame, group_runs: int, broadcast_bytes: int) -> DataFrame:
+    """doc, t, begin, end: spans of bytes to remove, merged where they touch."""
     grams = cut(repeated_grams(docs))
-    runs = cut(candidate_runs(docs, grams, broadcast_rows))
+    runs = cut(candidate_runs(docs, grams, broadcast_bytes))
     texts = runs.groupBy("gram", "run").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "t", "at", "lo", "hi")).alias("one"))
     texts = cut(texts.select("gram", "run", "times", "one.*"))
     several = texts.groupBy("gram").agg(F.count(F.lit(1)).alias("n_runs"), F.min("times").alias("least")).where("n_runs > 1 and least = 1").select("gram", "n_runs")
@@ -353,21 +365,22 @@ def repeated_spans(docs: DataFrame, group_runs: int, broadcast_rows: int) -> Dat
         kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["gram", "run", "times", "at", "text", "n_runs"])
 
-    fetched = with_lists(docs, wanted, ["gram", "run", "times", "at", "lo", "hi", "n_runs"], broadcast_rows, fetch, "gram long, run long, times long, at long, text binary, n_runs long")
+    fetched = with_lists(docs, wanted, ["gram", "run", "times", "at", "lo", "hi", "n_runs"], broadcast_bytes, fetch, "gram long, run long, times long, at long, text binary, n_runs long")
     # a repeated row offers its text more than once
     fetched = fetched.dropDuplicates(["gram", "run"])
     part = resolved(fetched, group_runs)
     whole = runs.join(texts.where("times > 1").select("gram", "run"), ["gram", "run"], "left_semi").select("doc", "t", F.col("lo").alias("begin"), (F.col("hi") + LENGTH).alias("end"))
     rest = texts.where("times = 1").join(part, ["gram", "run"]).select("doc", "t", (F.col("lo") + F.col("first")).alias("begin"), (F.col("lo") + F.col("last") + LENGTH).alias("end"))
-    return whole.unionAll(rest)
+    # a repeated row lists its spans as often as it stands there
+    out = cut(merged(whole.unionAll(rest).groupBy("doc", "t", "begin").agg(F.max("end").alias("end"))))
+    release(grams, runs, texts, wanted)
+    return out
 
 
-def remove_repeats(docs: DataFrame, group_runs: int = 4096, broadcast_rows: int = 1 << 21) -> DataFrame:
+def remove_repeats(docs: DataFrame, group_runs: int = 4096, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    spans = repeated_spans(docs, group_runs, broadcast_rows)
-    # a document's spans are merged where they touch, so the lists are short
-    spans = cut(merged(spans))
+    spans = repeated_spans(docs, group_runs, broadcast_bytes)
 
     def out(b, data, offsets, lists) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -383,7 +396,7 @@ def remove_repeats(docs: DataFrame, group_runs: int = 4096, broadcast_rows: int
         kinds = [pa.int64()] * 3 + [pa.string()]
         yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_lists(docs, spans, ["begin", "end"], broadcast_rows, out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_lists(docs, spans, ["begin", "end"], broadcast_bytes, out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def merged(spans: DataFrame) -> DataFrame:

@@ -43,11 +43,11 @@ def cases(seed):
     return docs + [(400, None), (401, ""), (None, copy), (402, "w" * 401), (None, "short")]
 
 
-@pytest.mark.parametrize("seed,group_runs,broadcast_rows", [(1, 4096, 1 << 21), (2, 1, 1 << 21), (3, 4096, 0), (4, 2, 0)])
-def test_equals_brute_force(spark, seed, group_runs, broadcast_rows):
+@pytest.mark.parametrize("seed,group_runs,broadcast_bytes", [(1, 4096, 64 << 20), (2, 1, 64 << 20), (3, 4096, 0), (4, 2, 0)])
+def test_equals_brute_force(spark, seed, group_runs, broadcast_bytes):
     docs = cases(seed)
     df = spark.createDataFrame([(i, t, 5, "x") for i, t in docs], "doc_id long, text string, gram int, run string").repartition(4)
-    got = sorted([tuple(r) for r in s.remove_repeats(df, group_runs, broadcast_rows).collect()], key=str)
+    got = sorted([tuple(r) for r in s.remove_repeats(df, group_runs, broadcast_bytes).collect()], key=str)
     want = brute(docs)
     assert got == want
 
