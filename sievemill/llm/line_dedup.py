@@ -37,6 +37,8 @@ from .textvec import U64, mix
 
 BLANK = b" \t\n\v\f\r"
 NO_DOC = -(1 << 63)
+#: Documents holding a shard's lines for each of its tasks, where probes are routed.
+TASK_PROBES = 1 << 18
 
 
 def key_hash(line: bytes, min_chars: int) -> tuple[int, int] | None:
@@ -89,9 +91,13 @@ class PerfectHash:
 
 
 class Shard:
-    """The perfect hash of a shard and its arrays by index."""
+    """The perfect hash of a shard and its arrays by index; a key whose index hash another has too is kept beside them."""
 
     def __init__(self, h: np.ndarray, check: np.ndarray, n_docs: np.ndarray, last: np.ndarray) -> None:
+        _, first = np.unique(h, return_index=True)
+        others = np.setdiff1d(np.arange(len(h)), first)
+        self.twins = {(int(h[i]), int(check[i])): int(last[i]) for i in others}
+        h, check, n_docs, last = h[first], check[first], n_docs[first], last[first]
         self.mph = PerfectHash(h)
         order = self.mph.index(h)
         self.check, self.n_docs, self.last = np.empty_like(check), np.empty(len(h), np.uint32), np.empty_like(last)
@@ -102,8 +108,13 @@ class Shard:
         if not len(self.check):
             return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
         at = self.mph.index(h)
-        there = (at >= 0) & (self.check[at] == check)
-        return there, self.last[at]
+        there, last = (at >= 0) & (self.check[at] == check), self.last[at]
+        if self.twins:
+            for i in np.flatnonzero(~there):
+                twin = self.twins.get((int(h[i]), int(check[i])))
+                if twin is not None:
+                    there[i], last[i] = True, twin
+        return there, last
 
 
 def shard_of(h: np.ndarray, n_shards: int) -> np.ndarray:
@@ -136,8 +147,6 @@ def build_shards(lines: DataFrame, n_shards: int) -> list[Shard]:
     rows = lines.toArrow()
     h, check = (rows.column(c).to_numpy().view(U64) for c in ("h", "check"))
     n_docs, last = rows.column("n_docs").to_numpy(), rows.column("last").to_numpy()
-    h, unique = np.unique(h, return_index=True)
-    check, n_docs, last = check[unique], n_docs[unique], last[unique]
     shard = shard_of(h, n_shards)
     return [Shard(h[m], check[m], n_docs[m], last[m]) for m in (shard == k for k in range(n_shards))]
 
@@ -177,15 +186,15 @@ def cleaned(docs: DataFrame, out, schema, min_chars: int, min_docs: int, shard_k
                 yield out(b, split, [drops_of(s, NO_DOC if i is None else i, shared.value, min_chars) for i, s in zip(ids, split)])
 
         return map_arrow(docs, run, schema)
-    drops = routed_drops(docs, lines, n_shards, min_chars)
+    drops = routed_drops(docs, lines, n_shards, min_chars, TASK_PROBES)
     joined = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC))).join(drops, "__id", "left").select(*docs.columns, "__drop")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             split = [split_lines(t) for t in b.column(text_at).to_pylist()]
-            lost = [set(d or ()) for d in b.column(b.num_columns - 1).to_pylist()]
-            # a routed drop is a key's hash, so that equal doc_ids with different texts stay apart
-            yield out(b, split, [[n for n, x in ((n, key_hash(line, min_chars)) for n, line in enumerate(s)) if x and _signed(x[0]) in d] if d else [] for s, d in zip(split, lost)])
+            lost = [{(x["h"], x["check"]) for x in d or ()} for d in b.column(b.num_columns - 1).to_pylist()]
+            # a routed drop is a key's two hashes, so that equal doc_ids with different texts stay apart
+            yield out(b, split, [[n for n, x in ((n, key_hash(line, min_chars)) for n, line in enumerate(s)) if x and (_signed(x[0]), _signed(x[1])) in d] if d else [] for s, d in zip(split, lost)])
 
     return map_arrow(joined, apply, schema)
 
@@ -194,13 +203,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def routed_drops(docs: DataFrame, lines: DataFrame, n_shards: int, min_chars: int) -> DataFrame:
+def routed_drops(docs: DataFrame, lines: DataFrame, n_shards: int, min_chars: int, task_probes: int) -> DataFrame:
     """__id, __drop: hashes of the lines that each document loses, found by the shards' owners.
 
     A probe goes to the partition of its shard, salted so that one frequent line does not land
-    in one task; each salt's task builds the shard's arrays from the same rows.
+    in one task: a shard has a salt for every task_probes documents that hold its lines. Each
+    salt's task builds the shard's arrays from the same rows.
     """
-    salts = 16
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -208,22 +217,25 @@ def routed_drops(docs: DataFrame, lines: DataFrame, n_shards: int, min_chars: in
             h, check, ids = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(check, pa.int64()), pa.array(ids, pa.int64())], ["h", "check", "id"])
 
-    n = F.lit(n_shards)
-    shard = F.pmod(F.shiftrightunsigned("h", 32), n).alias("shard")
+    shard = F.pmod(F.shiftrightunsigned("h", 32), F.lit(n_shards)).alias("shard")
+    lines = lines.select(shard, "h", "check", "n_docs", "last")
+    # a row a shard, that is, one for about shard_keys lines
+    salts = F.broadcast(lines.groupBy("shard").agg(F.ceil(F.sum("n_docs") / task_probes).cast("long").alias("salts")))
     probes = map_arrow(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("id"), "text"), emit, "h long, check long, id long")
-    probes = probes.select(shard, F.pmod("id", F.lit(salts)).alias("salt"), "h", "check", "id").groupBy("shard", "salt")
-    owners = lines.select(shard, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "h", "check", "n_docs", "last").groupBy("shard", "salt")
+    # a shard without a frequent line has no salts: none of its probes can succeed
+    probes = probes.select(shard, "h", "check", "id").join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).groupBy("shard", "salt")
+    owners = lines.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "h", "check", "n_docs", "last").groupBy("shard", "salt")
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
         h, check, n_docs, last = (right.column(n).to_numpy() for n in ("h", "check", "n_docs", "last"))
         own = Shard(h.view(U64), check.view(U64), n_docs, last)
-        probed, ids = left.column("h").to_numpy(), left.column("id").to_numpy()
-        there, last = own.probe(probed.view(U64), left.column("check").to_numpy().view(U64))
+        probed, checks, ids = (left.column(n).to_numpy() for n in ("h", "check", "id"))
+        there, last = own.probe(probed.view(U64), checks.view(U64))
         lost = there & (last != ids)
-        return pa.table({"__id": ids[lost], "h": probed[lost]})
+        return pa.table({"__id": ids[lost], "h": probed[lost], "check": checks[lost]})
 
-    lost = probes.cogroup(owners).applyInArrow(probe, "__id long, h long")
-    return lost.groupBy("__id").agg(F.collect_set("h").alias("__drop"))
+    lost = probes.cogroup(owners).applyInArrow(probe, "__id long, h long, check long")
+    return lost.groupBy("__id").agg(F.collect_set(F.struct("h", "check")).alias("__drop"))
 
 
 def dedup_digest(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_keys: int = 1 << 16, broadcast_keys: int = 1 << 21) -> DataFrame:

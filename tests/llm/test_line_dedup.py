@@ -63,3 +63,17 @@ def test_perfect_hash_is_minimal():
         keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         mph = d.PerfectHash(keys)
         assert np.array_equal(np.sort(mph.index(keys)), np.arange(len(keys)))
+
+
+def test_equal_index_hashes_stay_apart():
+    h, check = np.array([5, 5, 9, 5], np.uint64), np.array([1, 2, 3, 4], np.uint64)
+    shard = d.Shard(h, check, np.array([7, 8, 9, 6]), np.array([70, 80, 90, 60]))
+    there, last = shard.probe(np.array([5, 5, 5, 5, 9, 9, 1], np.uint64), np.array([1, 2, 4, 3, 3, 1, 1], np.uint64))
+    assert there.tolist() == [True, True, True, False, True, False, False] and last[there].tolist() == [70, 80, 60, 90]
+
+
+def test_routed_probes_with_several_salts(spark, monkeypatch):
+    monkeypatch.setattr(d, "TASK_PROBES", 3)
+    docs = cases()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    assert sorted(tuple(r) for r in d.dedup_digest(df, broadcast_keys=0, shard_keys=8).collect()) == brute(docs)
