@@ -16,9 +16,16 @@ Ranks within a source need no window over a whole source: documents are dealt by
 buckets of about ``bucket_docs``, bucket counts are summed up, and the window runs inside a
 bucket. So one source may hold any share of all rows.
 
+The driver plans lanes. A source is a lane of its own while there are at most ``max_sources``; beyond
+that, those with a given weight (at most ``max_sources``, else it is an error) and the largest others are, and the
+rest are pooled by size class (powers of two, so at most 64 more lanes), mixed by hash within a
+class, whose weight is the sum of theirs. So what is collected and broadcast is bounded: a row a
+lane, and a row a lane and phase with at most ``shares`` (or lanes, if more) slots a phase in all.
+
 The default weights are the square roots of the sources' sizes (temperature 2). Edge cases: a
 null source is a source of its own; sources without a given weight share one smallest share
-each, after the others; repeated rows are placed like any other; an empty table gives no rows;
+each, after the others; repeated rows are placed like any other; rows of one doc_id are ordered by a
+hash of their columns, those without a doc_id dealt by it; an empty table gives no rows;
 extra columns are kept, but for any that are named like the four added ones, which replace them.
 """
 
@@ -27,8 +34,11 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+
+from .common import cut
 
 SHARES = 1024
 ADDED = ["source_rank", "block", "slot", "slot_rank"]
@@ -94,37 +104,80 @@ def phases(blocks: dict, shares: dict) -> list[dict]:
     return out
 
 
-def mix_sources(docs: DataFrame, weights: dict | None = None, block_docs: int = 16, shares: int = SHARES, bucket_docs: int = 4096, seed: str = "mix") -> DataFrame:
-    """docs with source_rank, block, slot and slot_rank: the mixed order is (slot, slot_rank)."""
+def has_map(kind: DataType) -> bool:
+    parts = [f.dataType for f in kind.fields] if isinstance(kind, StructType) else [kind.elementType] if isinstance(kind, ArrayType) else []
+    return isinstance(kind, MapType) or any(has_map(k) for k in parts)
+
+
+def row_hash(docs: DataFrame, columns: list[str]) -> Column:
+    """A hash of the columns, so that rows that differ have an order of their own."""
+    fields = {f.name: f.dataType for f in docs.schema.fields}
+    return F.xxhash64(*[F.to_json(F.struct(docs[f"`{c}`"])) if has_map(fields[c]) else docs[f"`{c}`"] for c in columns])
+
+
+def lanes_of(docs: DataFrame, weights: dict | None, max_sources: int) -> tuple[DataFrame, dict, dict]:
+    """docs with __lane, the number of rows and the weight of each lane."""
+    sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    n_sources = sizes.count()
+    given = {k: w for k, w in (weights or {}).items() if w and w > 0}
+    if len(given) > max_sources:
+        raise ValueError(f"{len(given)} weights, more than max_sources")
     spark = docs.sparkSession
-    counts = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}  # a row a source
-    blocks = {k: -(-n // block_docs) for k, n in counts.items()}
+    if n_sources > max_sources:
+        sizes = cut(sizes)
+        listed = F.broadcast(spark.createDataFrame([(k,) for k in given] or [(None,)], "of string").where(F.lit(bool(given))))
+        named = sizes.join(listed, F.col("source").eqNullSafe(F.col("of")), "left_semi").collect()
+        others = sizes.join(listed, F.col("source").eqNullSafe(F.col("of")), "left_anti")
+        named += others.orderBy(F.desc("n"), F.col("source").asc_nulls_last()).limit(max_sources - len(named)).collect()
+    else:
+        named = sizes.collect()
+    named.sort(key=lambda r: (r["source"] is None, str(r["source"])))
+    own = F.broadcast(spark.createDataFrame([(r["source"], i) for i, r in enumerate(named)] or [(None, 0)], "__of string, __own int"))
+    dealt = docs.join(own, F.col("source").eqNullSafe(F.col("__of")), "left")
+    counts = {i: r["n"] for i, r in enumerate(named)}
     if weights is None:
-        weights = {k: math.sqrt(n) for k, n in counts.items()}
-    least = min([w for k, w in weights.items() if k in counts and w > 0], default=1.0)
-    share = whole_shares({k: max(weights.get(k) or 0, 0) or least * 1e-9 for k in counts}, shares)
-    # (source, phase, position in the period) -> slot; bounded by shares x sources, whatever the number of documents
-    rows = []
+        weight = {i: math.sqrt(n) for i, n in counts.items()}
+    else:
+        least = min((given[r["source"]] for r in named if r["source"] in given), default=1.0)
+        weight = {i: given.get(r["source"], least * 1e-9) for i, r in enumerate(named)}
+    if n_sources <= max_sources:
+        return dealt.withColumn("__lane", F.col("__own")), counts, weight
+    # the pooled sources are many small ones, so their sizes are joined, not broadcast
+    size_class = F.floor(F.log2("n")).cast("int")
+    rest = sizes.join(own, F.col("source").eqNullSafe(F.col("__of")), "left_anti").select(F.col("source").alias("__small"), size_class.alias("__class"), "n")
+    for r in rest.groupBy("__class").agg(F.sum("n").alias("n"), F.sum(F.sqrt("n")).alias("w"), F.count(F.lit(1)).alias("k")).collect():
+        lane = len(named) + r["__class"]
+        counts[lane], weight[lane] = r["n"], r["w"] if weights is None else least * 1e-9 * r["k"]
+    pooled = dealt.where("__own is null").join(rest.select("__small", "__class"), F.col("source").eqNullSafe(F.col("__small"))).withColumn("__lane", F.col("__class") + len(named)).drop("__small", "__class")
+    return dealt.where("__own is not null").withColumn("__lane", F.col("__own")).unionByName(pooled), counts, weight
+
+
+def mix_sources(docs: DataFrame, weights: dict | None = None, block_docs: int = 16, shares: int = SHARES, bucket_docs: int = 4096, seed: str = "mix", max_sources: int = 512) -> DataFrame:
+    """docs with source_rank (in its lane), block, slot and slot_rank: the mixed order is (slot, slot_rank)."""
+    spark = docs.sparkSession
+    # a row travels as one struct, so no column of docs can clash with the names used here
+    kept = [c for c in docs.columns if c not in ADDED]
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in kept]).alias("row"), docs["source"].alias("source"), docs["doc_id"].alias("__id"), row_hash(docs, kept).alias("__row"))
+    rows, counts, weight = lanes_of(rows, weights, max_sources)
+    blocks = {k: -(-n // block_docs) for k, n in counts.items()}
+    share = whole_shares(weight, shares)
+    # (lane, phase, position in the period) -> slot; bounded by shares x lanes, whatever the number of documents
+    plan_rows = []
     for n, p in enumerate(phases(blocks, share)):
         offsets: dict = {k: [] for k in p["shares"]}
         for t, k in enumerate(p["order"]):
             offsets[k].append(t)
         for k, own in offsets.items():
-            rows.append((k, n, p["before"][k], p["before"][k] + p["used"][k], p["start"], len(p["order"]), own))
-    # a null source gets a key of its own, so that window and joins share one partitioning
-    null_key = "\0null"
-    buckets = spark.createDataFrame([(null_key if k is None else k, max(1, n // bucket_docs)) for k, n in counts.items()] or [(null_key, 1)], "__source string, n_buckets long")
-    # the broadcast tables have a row a source, or a row a source and phase
-    # a row travels as one struct, so no column of docs can clash with the names used here
-    kept = [c for c in docs.columns if c not in ADDED]
-    dealt = docs.select(F.struct(*[docs[f"`{c}`"] for c in kept]).alias("row"), F.coalesce(F.col("source"), F.lit(null_key)).alias("__source"), F.col("doc_id").alias("__id"), F.xxhash64(F.lit(seed), "doc_id").alias("__h"))
-    dealt = dealt.join(F.broadcast(buckets), "__source").withColumn("__bucket", F.expr("shiftright(shiftrightunsigned(__h, 33) * n_buckets, 31)")).drop("n_buckets")
-    sizes = dealt.groupBy("__source", "__bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("__source", "__bucket", (F.sum("n").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("__before"))
-    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy("__h", "__id")) - 1).join(before, ["__source", "__bucket"])
+            plan_rows.append((k, n, p["before"][k], p["before"][k] + p["used"][k], p["start"], len(p["order"]), own))
+    buckets = spark.createDataFrame([(k, max(1, n // bucket_docs)) for k, n in counts.items()] or [(0, 1)], "__lane int, n_buckets long")
+    dealt = rows.select("row", "__lane", "__id", "__row", F.when(F.col("__id").isNull(), F.col("__row")).otherwise(F.xxhash64(F.lit(seed), "__id")).alias("__h"))
+    dealt = dealt.join(F.broadcast(buckets), "__lane").withColumn("__bucket", F.expr("shiftright(shiftrightunsigned(__h, 33) * n_buckets, 31)")).drop("n_buckets")
+    sizes = dealt.groupBy("__lane", "__bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("__lane", "__bucket", (F.sum("n").over(Window.partitionBy("__lane").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("__before"))
+    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("__lane", "__bucket").orderBy("__h", "__id", "__row")) - 1).join(before, ["__lane", "__bucket"])
     ranked = ranked.withColumn("source_rank", (F.col("__rank") + F.col("__before")).cast("long")).withColumn("block", F.expr(f"source_rank div {block_docs}"))
-    plan = spark.createDataFrame([(null_key if r[0] is None else r[0], *r[1:]) for r in rows] or [(null_key, 0, 0, 0, 0, 1, [0])], "p_source string, phase int, first_block long, end_block long, start long, period long, offsets array<long>")
-    placed = ranked.join(F.broadcast(plan), (F.col("__source") == F.col("p_source")) & (F.col("block") >= F.col("first_block")) & (F.col("block") < F.col("end_block")))
+    plan = spark.createDataFrame(plan_rows or [(0, 0, 0, 0, 0, 1, [0])], "p_lane int, phase int, first_block long, end_block long, start long, period long, offsets array<long>")
+    placed = ranked.join(F.broadcast(plan), (F.col("__lane") == F.col("p_lane")) & (F.col("block") >= F.col("first_block")) & (F.col("block") < F.col("end_block")))
     k = F.col("block") - F.col("first_block")
     slot = F.col("start") + F.expr("(block - first_block) div size(offsets)") * F.col("period") + F.get("offsets", (k % F.size("offsets")).cast("int"))
     return placed.withColumn("slot", slot.cast("long")).withColumn("slot_rank", F.pmod("source_rank", F.lit(block_docs)).cast("int")).select("row.*", *ADDED)

@@ -63,3 +63,26 @@ def test_clashing_columns(spark):
     out = m.mix_sources(df)
     assert out.columns == [c for c in df.columns if c != "slot"] + m.ADDED
     assert sorted(r.slot * 16 + r.slot_rank for r in out.collect()) == list(range(40))
+
+
+def test_more_sources_than_lanes(spark):
+    rows = [(i, f"h{i % 150}" if i % 3 else "big", "x") for i in range(1500)] + [(5000 + i, None, "x") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = m.mix_sources(df, block_docs=4, bucket_docs=50, max_sources=5).collect()
+    assert Counter((r.doc_id, r.source) for r in out) == Counter(r[:2] for r in rows)
+    assert sorted(r.slot_rank for r in out if r.slot == 0) == [0, 1, 2, 3]
+    assert len({(r.slot, r.slot_rank) for r in out}) == len(rows) and max(r.slot for r in out) < len(rows) / 4 + 10
+    # the two large sources keep lanes of their own: ranks without a gap
+    for k in ("big", None):
+        assert sorted(r.source_rank for r in out if r.source == k) == list(range(sum(r[1] == k for r in rows)))
+    given = m.mix_sources(df, {"h7": 1.0, "big": 1.0}, block_docs=4, max_sources=3).collect()
+    assert sorted(r.source_rank for r in given if r.source == "h7") == list(range(sum(r[1] == "h7" for r in rows)))
+    with pytest.raises(ValueError):
+        m.mix_sources(df, {f"h{i}": 1 for i in range(9)}, max_sources=5)
+
+
+def test_order_does_not_depend_on_partitioning(spark):
+    rows = [(i % 7 if i % 3 else None, "a", f"text {i}", {"k": str(i)}) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, extra map<string,string>")
+    place = lambda d: {r.text: (r.slot, r.slot_rank) for r in m.mix_sources(d, bucket_docs=20).collect()}
+    assert place(df.repartition(1)) == place(df.repartition(7))
