@@ -46,9 +46,22 @@ def test_ratio(spark):
     buckets = 64
     grams = {r.doc_id: r.g for r in df.select("doc_id", F.transform(let(let(rules.words(F.col("text")), rules.hashed), rules.ngrams), lambda p: rules.bucket(p, buckets)).alias("g")).collect()}
     raw, trusted = Counter(b for g in grams.values() for b in g), Counter(b for i, g in grams.items() if i < 20 for b in g)
-    n_raw, n_trusted = sum(raw.values()) + buckets, sum(trusted.values()) + buckets
-    for r in rules.judge(df, labels, buckets=buckets).collect():
+    n_raw, n_trusted, prior = sum(raw.values()), sum(trusted.values()), 3
+    for r in rules.judge(df, labels, buckets=buckets, prior=prior).collect():
         g = grams[r.doc_id]
         assert len(g) == 2 * r.n_words - 1
-        want = sum(math.log((trusted[b] + 1) / n_trusted) - math.log((raw[b] + 1) / n_raw) for b in g) / len(g)
-        assert math.isclose(r.ratio, want, abs_tol=1e-5)
+        own, mine = Counter(g), int(r.doc_id < 20)
+        share = (n_trusted - len(g) * mine) / (n_raw - len(g))
+        want = sum(math.log((trusted[b] - own[b] * mine + prior * share) / (share * (raw[b] - own[b] + prior))) for b in g) / len(g)
+        assert math.isclose(r.ratio, want, abs_tol=1e-9)
+
+
+def test_label_of_a_document_does_not_decide_its_own_verdict(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = rules.judge(docs, labels).join(docs.select("doc_id", "lang"), "doc_id").join(labels.select("doc_id", "quality"), "doc_id", "left").where("not base_failed and ratio > -0.5").collect()
+    for lang in {r.lang for r in out}:
+        rate = lambda rows: sum(r.kept for r in rows) / len(rows)
+        known, others = [r for r in out if r.lang == lang and r.quality is not None], [r for r in out if r.lang == lang and r.quality is None]
+        assert abs(rate(known) - rate(others)) < 0.05
+        assert rate([r for r in known if r.quality == 1]) > 0.95
+    assert sum(r.kept for r in out if r.quality == 0) < sum(r.quality == 0 for r in out)
