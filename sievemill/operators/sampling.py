@@ -1,7 +1,8 @@
 """Exact-count sampling, splitting and packing.
 
 Ranks are by sha256 of seed and id, so samples do not depend on partitioning. Quotas come from a
-row a stratum; ranks are windows within a stratum.
+row a stratum. A stratum is ranked in parts of about ``TASK_ROWS`` rows, cut by the first digits of
+the hash, so no task sorts a whole stratum.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from ..sources.tables import cut
 
 
+#: Rows that are ranked in one task, about.
+TASK_ROWS = 1 << 20
+
+
 def sha_rank(seed: str, key: str) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
 
@@ -29,27 +34,59 @@ def apportion(sizes: DataFrame, key: str, size: str, target: int) -> DataFrame:
     return rows.withColumns({"__left": left, "__place": place}).select(key, size, (F.col("__floor") + (F.col("__place") <= F.col("__left")).cast("long")).cast("long").alias("quota"))
 
 
+def hash_ranked(df: DataFrame, stratum: str, key: str, seed: str) -> DataFrame:
+    """df with __rn, the rank of (sha_rank, key) within the stratum, from 1, and __n, the stratum's size; a null stratum is one."""
+    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__n"))
+    most = sizes.agg(F.max("__n")).first()[0] or 0
+    digits = 0
+    while most > TASK_ROWS * 16**digits:
+        digits += 1
+    rows = df.withColumn("__s", sha_rank(seed, key)).withColumn("__part", F.substring("__s", 1, digits))
+    rows = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(stratum, "__part").orderBy("__s", key)))
+    # a row a stratum and part: 1 / TASK_ROWS of the rows, times 16 at most
+    parts = rows.groupBy(stratum, "__part").agg(F.count(F.lit(1)).alias("__c"))
+    whole = Window.partitionBy(stratum)
+    parts = parts.select(F.col(stratum).alias("__of"), F.col("__part").alias("__p"), (F.sum("__c").over(whole.orderBy("__part")) - F.col("__c")).alias("__before"), F.sum("__c").over(whole).alias("__n"))
+    out = rows.join(parts, rows[stratum].eqNullSafe(parts["__of"]) & (rows["__part"] == parts["__p"]))
+    return out.withColumn("__rn", F.col("__rn") + F.col("__before")).drop("__s", "__part", "__of", "__p", "__before")
+
+
 def stratified(df: DataFrame, stratum: str, key: str, target: int, seed: str) -> DataFrame:
     """Exactly target rows (or all), each stratum by its quota, lowest ranks first."""
     quotas = apportion(df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__size")), stratum, "__size", target)
-    ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(stratum).orderBy(sha_rank(seed, key), key)))
-    return ranked.join(F.broadcast(quotas.select(stratum, "quota")), stratum).where("__rn <= quota").drop("__rn", "quota")
+    return hash_ranked(df, stratum, key, seed).join(quotas.select(stratum, "quota"), stratum).where("__rn <= quota").drop("__rn", "__n", "quota")
+
+
+def exact_splits(df: DataFrame, stratum: str, key: str, shares: Sequence[tuple[str, float]], rest: str, seed: str) -> DataFrame:
+    """Column split: each split has exactly round(share x rows) rows, drawn in proportion from what earlier ones left of the strata; the rest is the last."""
+    left = cut(df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__size")))
+    total = left.agg(F.sum("__size")).first()[0] or 0
+    limits = left.select(F.col(stratum).alias("__k"), F.lit(0).cast("long").alias("__upto"))
+    ranked_rows = hash_ranked(df, stratum, key, seed)
+    out, base = None, ranked_rows.columns
+    for i, (name, share) in enumerate(shares):
+        quota = apportion(left, stratum, "__size", round(total * share))
+        left = quota.select(stratum, (F.col("__size") - F.col("quota")).alias("__size"))
+        limits = limits.join(quota.select(F.col(stratum).alias("__k"), "quota"), "__k").withColumn("__upto", F.col("__upto") + F.col("quota")).drop("quota").withColumn(f"__u{i}", F.col("__upto"))
+        hit = F.col("__rn") <= F.col(f"__u{i}")
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    joined = ranked_rows.join(limits, ranked_rows[stratum] == limits["__k"])
+    return joined.withColumn("split", out.otherwise(rest)).select(*[c for c in base if c not in ("__rn", "__n")], "split")
 
 
 def balanced(df: DataFrame, label: str, key: str, per_label: int, seed: str) -> DataFrame:
-    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(label).orderBy(sha_rank(seed, key), key))).where(F.col("__rn") <= per_label).drop("__rn")
+    return hash_ranked(df, label, key, seed).where(F.col("__rn") <= per_label).drop("__rn", "__n")
 
 
 def round_robin(df: DataFrame, stratum: str, key: str, count: int, seed: str) -> DataFrame:
     """One row a stratum in turn, until count rows."""
-    ranked = df.withColumn("turn", F.row_number().over(Window.partitionBy(stratum).orderBy(sha_rank(seed, key), key)))
-    return ranked.orderBy("turn", stratum).limit(count)
+    turns = hash_ranked(df, stratum, key, seed).withColumnRenamed("__rn", "turn").drop("__n")
+    return turns.orderBy("turn", stratum).limit(count)
 
 
 def split_by_shares(df: DataFrame, key: str, shares: Sequence[tuple[str, float]], seed: str, stratum: str) -> DataFrame:
     """Column split: within a stratum, by rank, cumulative shares of its size; disjoint and complete."""
-    w = Window.partitionBy(stratum)
-    ranked = df.withColumns({"__rn": F.row_number().over(w.orderBy(sha_rank(seed, key), key)), "__n": F.count(F.lit(1)).over(w)})
+    ranked = hash_ranked(df, stratum, key, seed)
     out, upto = None, 0.0
     for name, share in shares[:-1]:
         upto += share

@@ -65,6 +65,8 @@ def eligibility_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.reason_counts(docs.select(reasons.alias("reasons")), "reasons")
 
 
+#: Item n-grams that are broadcast: some 100 bytes each.
+MAX_BROADCAST_GRAMS = 1 << 19
 NGRAM_SQL = "SELECT DISTINCT {key}, unnest(CASE WHEN len(t) < 6 THEN [] ELSE list_transform(range(1, len(t) - 4), lambda i: array_to_string(t[i:i+5], ' ')) END) AS g FROM (SELECT {key}, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM {table})"
 
 
@@ -78,6 +80,9 @@ def ngram_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.token_ngrams(F.col("text"), 6)).alias("g"))
     items = table(spark, sf_dir, "benchmark").select("item_id", T.token_ngrams(F.col("text"), 6).alias("gs"))
     grams = items.select("item_id", F.size("gs").alias("size"), F.explode("gs").alias("g"))
+    # with few items only hits are shuffled; with many, both sides are
+    if grams.count() <= MAX_BROADCAST_GRAMS:
+        grams = F.broadcast(grams)
     pairs = docs.join(grams, "g").groupBy("doc_id", "item_id", "size").agg(F.count(F.lit(1)).alias("shared"))
     return pairs.where(F.col("shared") >= 0.12 * F.col("size")).select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("size"), 6).alias("containment"))
 
@@ -214,9 +219,15 @@ def correctness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(spark, sf_dir).select("doc_id", "lang", (F.col("quality") == F.col("pred")).alias("a"), (F.col("quality") == F.col("pred2")).alias("b"))
 
 
-@query()
+@query(f"""
+WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE a AND b) AS "both", count(*) FILTER (WHERE a AND NOT b) AS left_only, count(*) FILTER (WHERE b AND NOT a) AS right_only FROM (SELECT quality = pred AS a, quality = pred2 AS b FROM ({PREDICTIONS_SQL}))),
+m AS (SELECT *, left_only + right_only AS d, least(left_only, right_only) AS k FROM c)
+SELECT n, "both", left_only, right_only, n - "both" - left_only - right_only AS neither, round((right_only - left_only) / n, 9) AS delta,
+  round(CASE WHEN d = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(d + 1) - lgamma(i + 1) - lgamma(d - i + 1) - d * ln(2))))) END, 9) AS p FROM m
+""")
 def paired_mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.paired(correctness(spark, sf_dir), "a", "b")
+    out = scoring.paired(correctness(spark, sf_dir), "a", "b")
+    return out.withColumns({"delta": F.round("delta", 9), "p": F.round("p", 9)})
 
 
 @query(f"SELECT CASE WHEN a AND b THEN 'both' WHEN a THEN 'left_only' WHEN b THEN 'right_only' ELSE 'neither' END AS bucket, count(*) AS n FROM (SELECT quality = pred AS a, quality = pred2 AS b FROM ({PREDICTIONS_SQL})) GROUP BY 1")
@@ -296,6 +307,19 @@ def near_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("query", "neighbour", F.round("score", 6).alias("score"), (F.round("score", 6) >= 0.95).alias("severe"))
 
 
+SHIFTED_SQL = f"SELECT vec_id, e FROM ({VECTORS_SQL}) UNION ALL SELECT vec_id + 1000000, list_transform(e, lambda x, i: CASE WHEN i = 1 THEN x + (vec_id % 7) * 0.125::DOUBLE ELSE x END) FROM ({VECTORS_SQL})"
+
+
+@query(f"SELECT a.vec_id AS query, b.vec_id AS neighbour, {COSINE_SQL} AS score, {COSINE_SQL} >= 0.95 AS severe FROM ({SHIFTED_SQL}) a JOIN ({SHIFTED_SQL}) b ON a.vec_id < b.vec_id AND {COSINE_SQL.replace(', 6)', ', 9)')} >= 0.9")
+def near_duplicate_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors and copies of them that are moved by a known amount, so that there are pairs on both sides of the thresholds."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    moved = rows.select(F.col("vec_id") + 1000000, F.transform("e", lambda x, i: F.when(i == 0, x + (F.col("vec_id") % 7) * 0.125).otherwise(x)))
+    both = rows.unionAll(moved)
+    pairs = similarity.dense_topk(both, both, 0, "vec_id", "e", threshold=0.9).where("query < neighbour")
+    return pairs.select("query", "neighbour", F.round("score", 6).alias("score"), (F.round("score", 6) >= 0.95).alias("severe"))
+
+
 @query(f"""
 WITH x AS (SELECT label, vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS d FROM ({VECTORS_SQL})), c AS (SELECT label, d, avg(x) AS c FROM x GROUP BY label, d),
 s AS (SELECT label, vec_id, sum(x * c) / sqrt(sum(x * x) * sum(c * c)) AS cos FROM x JOIN c USING (label, d) GROUP BY label, vec_id)
@@ -329,11 +353,17 @@ def tag_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cascade_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lambda c: F.split(F.lower(c), " ")
-    items = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("item")).select("item", F.col("p_name").alias("name"), words(F.col("p_name")).alias("tags"), F.col("item").alias("position"))
-    steps = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("step"), F.lit("red widget").alias("name"), F.slice(T.tokens(F.col("text")), 1, 3).alias("tags"))
-    a = similarity.tfidf(steps.select("step", F.concat("tags", F.split("name", " ")).alias("terms")), "step", "terms")
-    b = similarity.tfidf(items.select("item", F.col("tags").alias("terms")), "item", "terms")
+    """Steps of benchmark items, named by nations, regions or parts, against all nations and regions as items, so that every branch decides some."""
+    items = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).alias("item"), F.col("n_name").alias("name"), F.array(F.concat(F.lit("w"), F.col("n_nationkey") % 9), F.concat(F.lit("only"), F.col("n_nationkey"))).alias("tags"))
+    items = items.unionAll(items.where("item % 5 = 0").select(F.col("item") + 100, "name", F.array(F.lit("again"))))
+    items = items.select("item", "name", "tags", F.col("item").alias("position"))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    text = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("step"), T.tokens(F.col("text")).alias("tokens"), (F.col("item_id") % 25).alias("n_nationkey"))
+    name = F.when(F.col("step") % 3 == 0, F.col("n_name")).otherwise("none of these")
+    own = F.when(F.col("step") % 3 == 1, F.array(F.concat(F.lit("only"), F.col("n_nationkey")))).when(F.col("step") % 3 == 2, F.array(F.concat(F.lit("w"), F.col("step") % 12))).otherwise(F.array().cast("array<string>"))
+    steps = text.join(nations, "n_nationkey").select("step", name.alias("name"), F.concat("tokens", own).alias("tags"))
+    a = similarity.tfidf(steps.select("step", F.concat("tags", T.tokens(F.col("name"))).alias("terms")), "step", "terms")
+    b = similarity.tfidf(items.select("item", F.concat("tags", T.tokens(F.col("name"))).alias("terms")), "item", "terms")
     scores = similarity.sparse_cosine(a, b, "step", "item").select(F.col("query").alias("step"), F.col("neighbour").alias("item"), "score")
     return similarity.cascade(steps, items, scores)
 
