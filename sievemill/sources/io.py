@@ -57,8 +57,15 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_manifest(df: DataFrame, path: str) -> None:
-    """An aggregate of a few rows as one JSON file; the commit protocol makes it appear whole or not at all."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """An aggregate of a few rows as one JSON file. It is written beside the old one, which it then replaces: a
+    failed write leaves the old one, and between deleting and renaming there is none; a part is never seen."""
+    df.coalesce(1).write.mode("overwrite").json(f"{path}.new")
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path))
+    fs = old.getFileSystem(conf)
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{path}.new could not be renamed")
 
 
 def append_ledger(df: DataFrame, ledger: DataFrame, path: str, key: str = "run_hash") -> None:

@@ -115,3 +115,16 @@ def test_ranks_in_parts_equal_ranks_in_one(spark, monkeypatch):
     whole = place()
     monkeypatch.setattr(sampling, "TASK_ROWS", 7)
     assert place() == whole and len(whole) == 500
+
+
+def test_manifest_is_replaced_whole(spark, tmp_path):
+    from sievemill.sources import io
+
+    path = str(tmp_path / "manifest")
+    for n in (1, 2):
+        io.write_manifest(spark.createDataFrame([(n, "x")], "n int, name string"), path)
+        assert [r.n for r in spark.read.json(path).collect()] == [n]
+    assert not io.exists(spark, f"{path}.new")
+    with pytest.raises(Exception, match="no such"):
+        io.write_manifest(spark.range(1).select(F.raise_error(F.lit("no such")).alias("x")), path)
+    assert [r.n for r in spark.read.json(path).collect()] == [2]
