@@ -49,21 +49,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import cut, map_arrow, release
+from .components import classes
 from .textvec import LOWER, U64, buffers, chunks, doc_slices, mix, prefix, shingles, span_hash, words
 
 K, ELL = 5, 2
 TOP = U64(0xFFFFFFFFFFFFFFFF)
 SLOTS, BLOCK = 1 << 20, 4096
-#: Most bits of a Bloom filter, as a power of two: 16 MB.
-FILTER_BITS = 27
-#: Edges of a task that turns them into stars, about; it does not hold more than twice as many.
-EDGES = 1 << 19
 SEEDS = mix(np.arange(1, 4097).astype(U64))
 #: The label of a first occurrence.
 FIRST = mix(np.zeros(1, U64) + U64(77))
@@ -262,40 +259,16 @@ def row_id() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
-def bits_of(h: np.ndarray, size: int) -> np.ndarray:
-    """Four bits of a table of size bits (a power of two) for each hash, a row a bit."""
-    x = mix(h.view(U64))
-    return np.stack([(x >> U64(s)) * U64(0x9E3779B97F4A7C15) >> U64(64 - size.bit_length() + 1) for s in (0, 11, 23, 37)]).astype(np.int64)
-
-
 def maybe_in(ids: DataFrame) -> Callable[[Column], Column]:
-    """A test of whether a row id may be among ids (one long column): a Bloom filter, with no false negatives.
+    """A test of whether a row id may be among ids (one long column), with no false negatives.
 
-    About 10 bits an id, at most FILTER_BITS in all whatever the number of ids. It only spares rows
-    a shuffle; a join decides, so a fuller filter costs time and changes no result.
+    It only spares rows a shuffle; a join decides, so a fuller filter costs time and changes no result.
     """
-    column = ids.columns[0]
-    size = 1 << min(FILTER_BITS, max(16, (10 * ids.count()).bit_length()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(size // 64, U64)
-        for b in batches:
-            at = bits_of(b.column(0).to_numpy(), size).ravel()
-            np.bitwise_or.at(table, at >> 6, U64(1) << (at & 63).astype(U64))
-        at = np.flatnonzero(table)
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(table[part].view(np.int64))], ["at", "bits"])
-
-    rows = map_arrow(ids.select(column), run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(size // 64, np.int64)
-    table[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
-    shared = ids.sparkSession.sparkContext.broadcast(table.view(U64))
+    shared = bloom.filter_of(ids)
 
     @F.pandas_udf("boolean")
     def test(h: pd.Series) -> pd.Series:
-        at = bits_of(h.to_numpy(), size)
-        return pd.Series(((shared.value[at >> 6] >> (at & 63).astype(U64)) & U64(1)).astype(bool).all(axis=0))
+        return pd.Series(bloom.maybe(shared.value, h.to_numpy()))
 
     return test
 
@@ -419,70 +392,6 @@ def rest(nodes: DataFrame, tested: DataFrame, texts: DataFrame, threshold: float
     return found
 
 
-def contracted(edges: DataFrame) -> DataFrame:
-    """u, v: edges with the same components, for every block of an Arrow task's edges a star around its smallest node."""
-
-    def stars(u: pa.Array, v: pa.Array) -> pa.RecordBatch:
-        nodes = pa.concat_arrays([u, v]).dictionary_encode()
-        order = pc.sort_indices(nodes.dictionary).to_numpy()
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        at = place[nodes.indices.to_numpy()]
-        a, b = at[: len(u)], at[len(u) :]
-        root = np.arange(len(order))
-        while True:
-            low = np.minimum(root[a], root[b])
-            before = root.copy()
-            np.minimum.at(root, a, low)
-            np.minimum.at(root, b, low)
-            np.minimum.at(root, before[a], low)
-            np.minimum.at(root, before[b], low)
-            root = root[root]
-            if (root == before).all():
-                break
-        names, move = nodes.dictionary.take(pa.array(order)), np.flatnonzero(root != np.arange(len(order)))
-        return pa.RecordBatch.from_arrays([names.take(pa.array(move)), names.take(pa.array(root[move]))], ["u", "v"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in batches:
-            held.append(b)
-            n += b.num_rows
-            if n >= 2 * EDGES:
-                yield stars(*(pa.concat_arrays([x.column(k) for x in held]) for k in (0, 1)))
-                held, n = [], 0
-        if n:
-            yield stars(*(pa.concat_arrays([x.column(k) for x in held]) for k in (0, 1)))
-
-    return cut(map_arrow(edges.select("u", "v"), run, "u binary, v binary"))
-
-
-def classes(edges: DataFrame) -> DataFrame:
-    """key, label: the smallest key of each node's component (nodes without a link are left out); edges: two columns of keys.
-
-    Tasks of about EDGES edges turn theirs into stars. Those of a single task are the classes, and
-    so are those of several if they fit together. Otherwise a large-star and a small-star step join
-    them, and so on.
-    """
-    a, b = edges.columns
-    edges = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v"), shuffled=True)
-    while True:
-        tasks = max(1, -(-edges.count() // EDGES))
-        old, edges = edges, contracted(edges.coalesce(tasks))
-        release(old)
-        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
-        if tasks == 1 or ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").isEmpty():
-            return edges.select(F.col("u").alias("key"), F.col("v").alias("label"))
-        both = edges.unionAll(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        old = edges
-        edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v"))), shuffled=True)
-        release(old)
-
-
 def grouped(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 2) -> DataFrame:
     """doc_id, rid, key of its text, label of its class, class_id, class_size of every row of docs."""
     base = cut(sketch(docs, bands, rows))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat_format, collocations, decontaminate, filter_audit, line_dedup, mixing, order_minhash, quality_crf, rules, secrets, suffix_dedup, xent
+from . import chat_format, collocations, decontaminate, filter_audit, line_dedup, mixing, order_minhash, quality_crf, rules, secrets, simhash, suffix_dedup, xent
 from .common import table
 
 QUERIES = {}
@@ -127,6 +127,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))

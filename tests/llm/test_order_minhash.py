@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from sievemill.llm import components
 from sievemill.llm import order_minhash as o
 
 
@@ -153,7 +154,7 @@ def test_no_nodes_no_links(spark):
 
 
 def test_classes_across_tasks(spark, monkeypatch):
-    monkeypatch.setattr(o, "EDGES", 7)
+    monkeypatch.setattr(components, "EDGES", 7)
     rng = random.Random(6)
     k = lambda i: i.to_bytes(2, "big")
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(500 + i, 501 + i) for i in range(90)]
