@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -15,9 +16,22 @@ def matches(c: Column, pattern: str) -> Column:
     return safe(c).rlike(f"(?i){pattern}")
 
 
+def guarded(pattern: str) -> str:
+    """A pattern of whole words with a test of their first two letters before it, as most words pass none of its alternatives.
+
+    Only patterns of the form \\b(one|another|...)\\b gain it, whose alternatives begin with two plain characters.
+    """
+    inner = re.fullmatch(r"\\b\((.*)\)\\b", pattern)
+    words = re.sub(r"\([^()]*\)", "", inner[1]).split("|") if inner else []
+    if not words or not all(re.match(r"[a-z][a-z&](?![?*])", w) for w in words):
+        return pattern
+    return rf"\b(?=[{''.join(sorted({w[0] for w in words}))}][{''.join(sorted({w[1] for w in words}))}])({inner[1]})\b"
+
+
 def matching(c: Column, patterns: Mapping[str, str]) -> Column:
-    """Names of the patterns found, in their order."""
-    return F.array_compact(F.array(*[F.when(matches(c, p), F.lit(n)) for n, p in patterns.items()]))
+    """Names of the patterns (in lower case) found, in their order."""
+    low = lambda t: F.array_compact(F.array(*[F.when(t.rlike(guarded(p)), F.lit(n)) for n, p in patterns.items()]))
+    return let(F.lower(safe(c)), low)
 
 
 def pattern_flags(c: Column, families: Mapping[str, Sequence[str]]) -> list[Column]:
@@ -62,15 +76,15 @@ def authority_bucket(laws: Column, cases: Column) -> Column:
     return F.when((laws > 0) & (cases > 0), "laws_and_cases").when(laws > 0, "laws_only").when(cases > 0, "cases_only").otherwise("no_authorities")
 
 
-def demands(text: Column, families: Column, issues: Column, laws: Column, cases: Column, facts: Column, characters: Column) -> Column:
-    """What a case demands: by its number of issues, laws, precedents and facts, then by its words."""
+def demands(words: Column, families: Column, issues: Column, laws: Column, cases: Column, facts: Column, characters: Column) -> Column:
+    """What a case demands: by its number of issues, laws, precedents and facts, then by its words (names of the demand patterns found)."""
     first = F.when(issues == 0, "issue_spotting_gap").when(issues == 1, "focused_issue_resolution").when(issues >= 3, "multi_issue_composition").otherwise("dual_issue_resolution")
     found = [
         first,
         F.when(laws > 0, "supplied_rule_extraction").otherwise("rule_recall_or_doctrine_identification"),
         F.when(cases > 0, "precedent_or_analogy_handling"),
         F.when(F.array_contains(families, "procedure_appeal"), "procedural_threshold_check"),
-        *[F.when(matches(text, p), F.lit(n)) for n, p in lexicon.DEMAND_PATTERNS.items()],
+        *[F.when(F.array_contains(words, n), F.lit(n)) for n in lexicon.DEMAND_PATTERNS],
         F.when((facts >= 12) | (characters >= 2200), "long_fact_filtering"),
     ]
     return F.array_compact(F.array(*found))
@@ -89,17 +103,18 @@ def trajectory(families: Column, wanted: Column) -> Column:
 def profile(facts: Column, issues: Column, laws: Column, cases: Column, *other: Column) -> Column:
     """struct of counts, families, demands and trajectory of a case; other: further texts that are searched for patterns."""
     text = F.concat_ws(" ", *[safe(c) for c in (*other, facts, issues, laws, cases)])
-    base = F.struct(text.alias("text"), F.size(split_items(issues)).alias("issues"), F.size(split_items(laws)).alias("laws"), F.size(split_items(cases)).alias("cases"), F.when(compact(facts) == "", 0).otherwise(fact_count(facts)).alias("facts"), F.length(safe(facts)).alias("characters"))
+    found = matching(text, lexicon.FAMILY_PATTERNS | lexicon.DEMAND_PATTERNS)
+    base = F.struct(found.alias("found"), F.size(split_items(issues)).alias("issues"), F.size(split_items(laws)).alias("laws"), F.size(split_items(cases)).alias("cases"), F.when(compact(facts) == "", 0).otherwise(fact_count(facts)).alias("facts"), F.length(safe(facts)).alias("characters"))
 
     def families_of(b: Column) -> Column:
-        hits = matching(b["text"], lexicon.FAMILY_PATTERNS)
+        hits = F.filter(b["found"], lambda x: x.isin(list(lexicon.FAMILY_PATTERNS)))
         return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit("general_legal_reasoning")))
 
     def out(b: Column, f: Column, d: Column) -> Column:
         t = trajectory(f, d)
         return F.struct(b["issues"].alias("issue_count"), b["laws"].alias("law_count"), b["cases"].alias("case_count"), b["facts"].alias("fact_count"), b["characters"].alias("fact_characters"), f.alias("families"), d.alias("demands"), t.alias("trajectory"), F.array_join(t, " > ").alias("signature"))
 
-    wanted = lambda b, f: demands(b["text"], f, b["issues"], b["laws"], b["cases"], b["facts"], b["characters"])
+    wanted = lambda b, f: demands(b["found"], f, b["issues"], b["laws"], b["cases"], b["facts"], b["characters"])
     return let(base, lambda b: let(families_of(b), lambda f: let(wanted(b, f), lambda d: out(b, f, d))))
 
 

@@ -42,6 +42,13 @@ def token_ngrams(c: Column, size: int) -> Column:
     return let(tokens(c), lambda t: F.when(F.size(t) >= size, grams(t)).otherwise(F.array().cast("array<string>")))
 
 
+def window_hashes(c: Column, size: int) -> Column:
+    """64-bit hashes of all token n-grams, in order, repeats included; none for shorter texts."""
+    hashed = lambda t: F.transform(t, lambda x: F.xxhash64(x))
+    rolled = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(size)]))
+    return let(hashed(tokens(c)), lambda h: F.when(F.size(h) >= size, rolled(h)).otherwise(F.array().cast("array<bigint>")))
+
+
 def containment(part: Column, whole: Column) -> Column:
     """Share of the part's n-grams that are in the whole; null for an empty part."""
     return F.size(F.array_intersect(part, whole)) / F.nullif(F.size(part), F.lit(0))

@@ -91,7 +91,9 @@ def lloyd_step(spark: SparkSession, rows: DataFrame, centres: DataFrame, kind: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
+        named = None
         for b in batches:
+            named = b.column(1).type
             for f, _, x in by_family(b):
                 c = shared.value[f]
                 s = sums.setdefault(f, np.zeros((len(c), c.shape[1] + 1)))
@@ -99,7 +101,7 @@ def lloyd_step(spark: SparkSession, rows: DataFrame, centres: DataFrame, kind: s
                 np.add.at(s, at, np.hstack([x, np.ones((len(x), 1))]))
         for f, s in sums.items():
             some = np.flatnonzero(s[:, -1])
-            yield pa.RecordBatch.from_arrays([pa.array([f] * len(some)), pa.array(some), pa.array(s[some].tolist(), pa.list_(pa.float64()))], ["family", "cluster", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([f] * len(some), named), pa.array(some), pa.array(s[some].tolist(), pa.list_(pa.float64()))], ["family", "cluster", "sums"])
 
     sums = rows.mapInArrow(run, f"family {kind}, cluster long, sums array<double>")
     total = sums.select("family", "cluster", F.posexplode("sums").alias("d", "x")).groupBy("family", "cluster", "d").agg(F.sum("x").alias("x"))
@@ -160,7 +162,7 @@ def assigned(spark: SparkSession, rows: DataFrame, centres: DataFrame, kind: str
                 c = shared.value[f]
                 # rounded, so that ties are ties whatever the order of the sums
                 sims = np.round(x @ normalised(c).T, 9)
-                yield pa.RecordBatch.from_arrays([pa.array([f] * len(at)), b.column(0).take(pa.array(at)), pa.array(nearest(x, c)), pa.array(sims.tolist(), pa.list_(pa.float64()))], ["family", "id", "cluster", "sims"])
+                yield pa.RecordBatch.from_arrays([pa.array([f] * len(at), b.column(1).type), b.column(0).take(pa.array(at)), pa.array(nearest(x, c)), pa.array(sims.tolist(), pa.list_(pa.float64()))], ["family", "id", "cluster", "sims"])
 
     return rows.mapInArrow(run, f"family {kind}, id {rows.schema['id'].dataType.simpleString()}, cluster long, sims array<double>")
 

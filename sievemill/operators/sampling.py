@@ -52,9 +52,11 @@ def hash_ranked(df: DataFrame, stratum: str, key: str, seed: str) -> DataFrame:
 
 
 def stratified(df: DataFrame, stratum: str, key: str, target: int, seed: str) -> DataFrame:
-    """Exactly target rows (or all), each stratum by its quota, lowest ranks first."""
+    """Exactly target rows (or all), each stratum (null is one) by its quota, lowest ranks first."""
     quotas = apportion(df.groupBy(stratum).agg(F.count(F.lit(1)).alias("__size")), stratum, "__size", target)
-    return hash_ranked(df, stratum, key, seed).join(quotas.select(stratum, "quota"), stratum).where("__rn <= quota").drop("__rn", "__n", "quota")
+    quotas = quotas.select(F.col(stratum).alias("__k"), "quota")
+    rows = hash_ranked(df, stratum, key, seed)
+    return rows.join(quotas, rows[stratum].eqNullSafe(quotas["__k"])).where("__rn <= quota").drop("__rn", "__n", "__k", "quota")
 
 
 def exact_splits(df: DataFrame, stratum: str, key: str, shares: Sequence[tuple[str, float]], rest: str, seed: str) -> DataFrame:
@@ -67,10 +69,11 @@ def exact_splits(df: DataFrame, stratum: str, key: str, shares: Sequence[tuple[s
     for i, (name, share) in enumerate(shares):
         quota = apportion(left, stratum, "__size", round(total * share))
         left = quota.select(stratum, (F.col("__size") - F.col("quota")).alias("__size"))
-        limits = limits.join(quota.select(F.col(stratum).alias("__k"), "quota"), "__k").withColumn("__upto", F.col("__upto") + F.col("quota")).drop("quota").withColumn(f"__u{i}", F.col("__upto"))
+        drawn = quota.select(F.col(stratum).alias("__of"), "quota")
+        limits = limits.join(drawn, F.col("__k").eqNullSafe(F.col("__of"))).withColumn("__upto", F.col("__upto") + F.col("quota")).drop("quota", "__of").withColumn(f"__u{i}", F.col("__upto"))
         hit = F.col("__rn") <= F.col(f"__u{i}")
         out = F.when(hit, name) if out is None else out.when(hit, name)
-    joined = ranked_rows.join(limits, ranked_rows[stratum] == limits["__k"])
+    joined = ranked_rows.join(limits, ranked_rows[stratum].eqNullSafe(limits["__k"]))
     return joined.withColumn("split", out.otherwise(rest)).select(*[c for c in base if c not in ("__rn", "__n")], "split")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
@@ -19,50 +19,83 @@ def cases_sql(patterns: dict[str, str], column: str) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({column}, {quoted('(?i)' + p)}) THEN {quoted(n)} END" for n, p in patterns.items()) + "], lambda x: x IS NOT NULL)"
 
 
+#: A sentence for each pattern of the lexicon. The tables' prose holds hardly any of the words, so each document gets one of them (or none) by its doc_id.
+OUTCOME_SENTENCES = [
+    "", "Then the court held otherwise.", "His claim was dismissed.", "The defendant is not liable here.", "He shall pay in May.", "She was an evasive witness.", "Judgment in May was entered.", "He admitted liability.",
+    "A judge in May preferred some testimony.", "The appeal of May was upheld.", "COSTS WERE AWARDED.", "There is no evidence to support this.", "They are entitled to it.", "Both were equally responsible.",
+]
+CASE_SENTENCES = [
+    "", "a Breach of it", "an unpaid sum", "the premises", "an injury", "lost wages", "a shareholder", "leave was sought", "the prosecution", "a refugee", "the public officer", "his estate", "an expert", "estoppel", "an injunction",
+    "LAND and trusts and loans and torts",
+]
+PREDICATE_SENTENCES = ["", "He was convicted.", "It is not enforceable.", "A counterclaim was made.", "By the king in 1984 at the river."]
+
+
+def planted_sql(sentences: list[str]) -> str:
+    return f"(coalesce(text, '') || ' ' || [{', '.join(quoted(x) for x in sentences)}][doc_id % {len(sentences)} + 1])"
+
+
+def planted(sentences: list[str]) -> Column:
+    """A document's text and the sentence that falls to it."""
+    return F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.element_at(F.array(*[F.lit(x) for x in sentences]), (F.col("doc_id") % len(sentences) + 1).cast("int")))
+
+
 def steps_sql(steps: list[tuple[str, str]]) -> str:
     return ", ".join(f"CASE WHEN list_contains(d, {quoted(a)}) THEN {quoted(b)} END" for a, b in steps)
 
 
 @query(rf"""
-WITH b AS (SELECT doc_id, text, CASE WHEN lang = 'en' THEN source ELSE '' END AS laws, coalesce(text, '') || ' ' || coalesce(text, '') || ' ' || CASE WHEN lang = 'en' THEN source ELSE '' END || ' ' || lang AS whole,
-  len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\n;]+'), lambda x: trim(x, ' -' || chr(9)) <> '')) AS issue_count,
-  list_distinct(regexp_extract_all(coalesce(text, ''), '\b(F\d+)\b')) AS marks,
-  len(list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ') <> '')) AS sentences FROM documents),
-c AS (SELECT *, CASE WHEN trim(coalesce(text, '')) = '' THEN 0 WHEN len(marks) > 0 THEN len(marks) ELSE sentences END AS fact_count, (laws <> '')::INT AS law_count, {cases_sql(lexicon.FAMILY_PATTERNS, 'whole')} AS f0 FROM b),
+WITH t AS (SELECT doc_id, {planted_sql(CASE_SENTENCES)} AS text, array_to_string(string_split(coalesce(text, ''), chr(10))[1:doc_id % 4], chr(10)) AS issues, CASE WHEN lang = 'en' THEN source ELSE '' END AS laws, CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang || ';' || source END AS refs FROM documents),
+b AS (SELECT *, text || ' ' || issues || ' ' || laws || ' ' || refs AS whole,
+  len(list_filter(regexp_split_to_array(issues, '[\n;]+'), lambda x: trim(x, ' -' || chr(9)) <> '')) AS issue_count, len(list_filter(string_split(refs, ';'), lambda x: x <> '')) AS case_count,
+  list_distinct(regexp_extract_all(text, '\b(F\d+)\b')) AS marks,
+  len(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ') <> '')) AS sentences FROM t),
+c AS (SELECT *, CASE WHEN trim(text) = '' THEN 0 WHEN len(marks) > 0 THEN len(marks) ELSE sentences END AS fact_count, (laws <> '')::INT AS law_count, {cases_sql(lexicon.FAMILY_PATTERNS, 'whole')} AS f0 FROM b),
 e AS (SELECT *, CASE WHEN len(f0) > 0 THEN f0 ELSE ['general_legal_reasoning'] END AS f FROM c),
 g AS (SELECT *, list_filter([CASE WHEN issue_count = 0 THEN 'issue_spotting_gap' WHEN issue_count = 1 THEN 'focused_issue_resolution' WHEN issue_count >= 3 THEN 'multi_issue_composition' ELSE 'dual_issue_resolution' END,
-  CASE WHEN law_count > 0 THEN 'supplied_rule_extraction' ELSE 'rule_recall_or_doctrine_identification' END, 'precedent_or_analogy_handling', CASE WHEN list_contains(f, 'procedure_appeal') THEN 'procedural_threshold_check' END]
-  || {cases_sql(lexicon.DEMAND_PATTERNS, 'whole')} || [CASE WHEN fact_count >= 12 OR length(coalesce(text, '')) >= 2200 THEN 'long_fact_filtering' END], lambda x: x IS NOT NULL) AS d FROM e)
-SELECT doc_id, issue_count, law_count, fact_count, array_to_string(f, '|') AS families, array_to_string(d, '|') AS demands,
+  CASE WHEN law_count > 0 THEN 'supplied_rule_extraction' ELSE 'rule_recall_or_doctrine_identification' END, CASE WHEN case_count > 0 THEN 'precedent_or_analogy_handling' END, CASE WHEN list_contains(f, 'procedure_appeal') THEN 'procedural_threshold_check' END]
+  || {cases_sql(lexicon.DEMAND_PATTERNS, 'whole')} || [CASE WHEN fact_count >= 12 OR length(text) >= 2200 THEN 'long_fact_filtering' END], lambda x: x IS NOT NULL) AS d FROM e)
+SELECT doc_id, issue_count, law_count, case_count, fact_count, CASE WHEN law_count > 0 AND case_count > 0 THEN 'laws_and_cases' WHEN law_count > 0 THEN 'laws_only' WHEN case_count > 0 THEN 'cases_only' ELSE 'no_authorities' END AS authorities, array_to_string(f, '|') AS families, array_to_string(d, '|') AS demands,
   array_to_string(list_filter(['case_profile', CASE WHEN list_contains(d, 'issue_spotting_gap') THEN 'issue_spotting' WHEN list_contains(d, 'multi_issue_composition') THEN 'issue_decomposition' ELSE 'issue_confirmation' END, {steps_sql(lexicon.STEPS_BEFORE)},
     CASE WHEN list_contains(d, 'supplied_rule_extraction') THEN 'rule_extraction' ELSE 'rule_or_doctrine_identification' END] || list_transform(f[1:3], lambda x: 'domain_template:' || x) || [{steps_sql(lexicon.STEPS_AFTER)}, 'final_decision'], lambda x: x IS NOT NULL), ' > ') AS signature FROM g
 """)
 def case_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts are a document's whole text, issues its first lines (none to three), so that no text is searched twice."""
     docs = table(spark, sf_dir, "documents")
+    issues = F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(1), (F.col("doc_id") % 4).cast("int")), "\n")
     laws = F.when(F.col("lang") == "en", F.col("source")).otherwise("")
-    out = docs.select("doc_id", P.profile(F.col("text"), F.col("text"), laws, F.col("lang")).alias("p")).select("doc_id", "p.*")
-    return out.select("doc_id", F.col("issue_count").cast("long").alias("issue_count"), "law_count", F.col("fact_count").cast("long").alias("fact_count"), F.array_join("families", "|").alias("families"), F.array_join("demands", "|").alias("demands"), "signature")
+    refs = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat_ws(";", "lang", "source"))
+    out = docs.select("doc_id", P.profile(planted(CASE_SENTENCES), issues, laws, refs).alias("p")).select("doc_id", "p.*")
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return out.select("doc_id", long("issue_count"), "law_count", long("case_count"), long("fact_count"), P.authority_bucket(F.col("law_count"), F.col("case_count")).alias("authorities"), F.array_join("families", "|").alias("families"), F.array_join("demands", "|").alias("demands"), "signature")
 
 
 @query(rf"""
-WITH g AS (SELECT doc_id, d.text AS facts, list_distinct(CASE WHEN len(t) < 6 THEN [] ELSE list_transform(range(1, len(t) - 4), lambda i: array_to_string(t[i:i+5], ' ')) END) AS a, list_distinct(CASE WHEN len(u) < 6 THEN [] ELSE list_transform(range(1, len(u) - 4), lambda i: array_to_string(u[i:i+5], ' ')) END) AS b
-  FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents) d JOIN (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS u FROM benchmark) i ON item_id = doc_id % 40)
+WITH i AS (SELECT text AS decision, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM benchmark),
+p AS (SELECT doc_id, decision, {planted_sql(OUTCOME_SENTENCES)} || CASE WHEN doc_id % 10 = 3 THEN ' ' || decision ELSE '' END AS facts FROM documents d JOIN i ON place = doc_id % n),
+g AS (SELECT doc_id, facts, list_distinct(CASE WHEN len(t) < 6 THEN [] ELSE list_transform(range(1, len(t) - 4), lambda i: array_to_string(t[i:i+5], ' ')) END) AS a, list_distinct(CASE WHEN len(u) < 6 THEN [] ELSE list_transform(range(1, len(u) - 4), lambda i: array_to_string(u[i:i+5], ' ')) END) AS b
+  FROM (SELECT doc_id, facts, regexp_extract_all(lower(facts), '[a-z0-9]+') AS t, regexp_extract_all(lower(decision), '[a-z0-9]+') AS u FROM p))
 SELECT doc_id, array_to_string({cases_sql(lexicon.OUTCOME_PATTERNS, 'facts')} || CASE WHEN len(b) > 0 AND len(list_intersect(b, a)) / len(b) >= 0.12 THEN ['judgment_text_overlap'] ELSE [] END, '|') AS reasons FROM g
-""")
+""".replace("coalesce(text, '')", "coalesce(d.text, '')"))
 def leakage_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decisions = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("decision"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id")).join(decisions, "item_id")
-    return docs.select("doc_id", F.array_join(P.leakage_reasons(F.col("text"), F.col("decision")), "|").alias("reasons"))
+    """Every item of benchmark is the decision of the documents whose doc_id leaves its place over; each tenth document quotes it."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("decision"))
+    n = items.count()
+    items = sampling.ranked(items, ["item_id"], "place").select("decision", (F.col("place") - 1).alias("place"))
+    docs = table(spark, sf_dir, "documents").withColumn("place", F.col("doc_id") % n).join(items, "place")
+    facts = F.concat(planted(OUTCOME_SENTENCES), F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit(" "), F.col("decision"))).otherwise(""))
+    return docs.select("doc_id", F.array_join(P.leakage_reasons(facts, F.col("decision")), "|").alias("reasons"))
 
 
 @query(rf"""
 SELECT doc_id, NOT (doc_id % 50 = 0) AND NOT regexp_matches(lang || ' ' || text, {quoted('(?i)' + lexicon.CRIMINAL_TERMS)}) AS civil, regexp_matches(text, {quoted('(?i)' + lexicon.STRICT_TERMS)}) AS strict,
-  regexp_matches(text, {quoted('(?i)' + lexicon.DEFENSE_FLAG)}) AS defense, regexp_matches(lower(text), '(?:\bking\b)|(?:river)') AS place, regexp_matches(lower(text), '(?:[0-9]{{4}})') AS year FROM documents
+  regexp_matches(text, {quoted('(?i)' + lexicon.DEFENSE_FLAG)}) AS defense, regexp_matches(lower(text), '(?:\bking\b)|(?:river)') AS place, regexp_matches(lower(text), '(?:[0-9]{{4}})') AS year FROM (SELECT doc_id, lang, {planted_sql(PREDICATE_SENTENCES)} AS text FROM documents)
 """)
 def case_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("text", planted(PREDICATE_SENTENCES))
     text, plaintiff = F.col("text"), F.when(F.col("doc_id") % 50 == 0, " hksar ").otherwise(F.col("source"))
     flags = P.pattern_flags(text, {"place": [r"\bking\b", "river"], "year": ["[0-9]{4}"]})
-    return table(spark, sf_dir, "documents").select("doc_id", P.is_civil(plaintiff, F.col("lang"), text).alias("civil"), (F.size(P.strict_reasons(text)) > 0).alias("strict"), P.has_defense(text).alias("defense"), *flags)
+    return docs.select("doc_id", P.is_civil(plaintiff, F.col("lang"), text).alias("civil"), (F.size(P.strict_reasons(text)) > 0).alias("strict"), P.has_defense(text).alias("defense"), *flags)
 
 
 @query(r"""

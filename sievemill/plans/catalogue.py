@@ -77,13 +77,17 @@ SELECT doc_id, item_id, count(*) AS shared, round(count(*)::DOUBLE / size, 6) AS
 GROUP BY doc_id, item_id, size HAVING count(*) >= 0.12 * size
 """)
 def ngram_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.token_ngrams(F.col("text"), 6)).alias("g"))
+    """Windows are 64-bit hashes until one is found; only the texts of hits become n-grams."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     items = table(spark, sf_dir, "benchmark").select("item_id", T.token_ngrams(F.col("text"), 6).alias("gs"))
     grams = items.select("item_id", F.size("gs").alias("size"), F.explode("gs").alias("g"))
+    hashes = table(spark, sf_dir, "benchmark").select(F.explode(T.window_hashes(F.col("text"), 6)).alias("h")).distinct()
     # with few items only hits are shuffled; with many, both sides are
     if grams.count() <= MAX_BROADCAST_GRAMS:
-        grams = F.broadcast(grams)
-    pairs = docs.join(grams, "g").groupBy("doc_id", "item_id", "size").agg(F.count(F.lit(1)).alias("shared"))
+        grams, hashes = F.broadcast(grams), F.broadcast(hashes)
+    hits = docs.select("doc_id", F.explode(T.window_hashes(F.col("text"), 6)).alias("h")).join(hashes, "h", "left_semi").select("doc_id").distinct()
+    found = docs.join(hits, "doc_id").select("doc_id", F.explode(T.token_ngrams(F.col("text"), 6)).alias("g"))
+    pairs = found.join(grams, "g").groupBy("doc_id", "item_id", "size").agg(F.count(F.lit(1)).alias("shared"))
     return pairs.where(F.col("shared") >= 0.12 * F.col("size")).select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("size"), 6).alias("containment"))
 
 

@@ -169,3 +169,14 @@ def test_packing_fills_bins_of_every_batch(spark):
         bins += len(loads)
         assert len(loads) > 1
     assert bins < 1.2 * sum(n for _, n in size.values()) / 200_000 + len(got)
+
+
+def test_null_strata_are_strata(spark):
+    from sievemill.operators import sampling
+
+    df = spark.range(100).selectExpr("id", "case when id % 4 = 0 then null else cast(id % 4 as string) end as s")
+    out = sampling.stratified(df, "s", "id", 20, "x").groupBy("s").count().collect()
+    assert {r.s: r["count"] for r in out} == {None: 5, "1": 5, "2": 5, "3": 5}
+    splits = sampling.exact_splits(df, "s", "id", [("a", 0.5), ("b", 0.25)], "rest", "x")
+    assert {r.split: r["count"] for r in splits.groupBy("split").count().collect()} == {"a": 50, "b": 25, "rest": 25}
+    assert splits.where("s is null and split = 'b'").count() in (6, 7)
