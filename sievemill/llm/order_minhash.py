@@ -5,22 +5,24 @@ labelled with its occurrence number, so that a repeated passage counts as often
 the text. Each of ``bands * rows`` hash functions samples the ``ELL`` k-mers with the smallest
 values and keeps them in the order of the text; the hash of this ordered sample is one
 signature. Two texts agree in a signature only if they share the k-mers and their order, which
-makes collisions follow the edit similarity. ``rows`` signatures make a band.
+makes collisions follow the edit similarity. ``rows`` signatures make a band. Every text has them.
 
 A pair is confirmed by its plain shingles, of which repetitions and their labels say little, so
-each text also has bands over its first occurrences alone, sampled by the same functions without
-regard to order. The set of first occurrences is the plain shingle set, and in it two texts of
-Jaccard similarity 0.8 miss all of 20 bands of 2 with a probability of 3e-5 (computed for large
-sets; 1.3e-4 for 4 shingles shared of 5), whatever repeats or moves. Where no shingle repeats, equal ordered
-samples are equal unordered ones, also against a text with repetitions, so only texts with
-repetitions have ordered bands besides.
+buckets are formed by the samples of first occurrences without regard to order, and the ordered
+bands tell the members of a bucket apart: those of one ordered band meet first, and only the best of
+each order meets the best of the bucket. The set of first occurrences is the plain shingle set, and in it two texts of
+Jaccard similarity 0.8 miss all of 20 buckets of 2 with a probability of 3e-5 (computed for large
+sets; 1.3e-4 for 4 shingles shared of 5), whatever repeats or moves. Where no shingle repeats, the
+ordered band of a bucket is the Order MinHash band itself; texts with repetitions have the ordered
+bands of all their labelled k-mers as buckets besides.
 
 1. Texts with equal word sequences are one node (128-bit key); copies are never paired.
-2. Nodes with an equal band meet in a bucket. A bucket is never expanded into pairs: all members
-   are compared once with its centre, the member that meets most others over all its buckets. The
-   links make classes.
-3. A bucket whose members are of one class, but for its centre, is settled: all its other pairs
-   are of that class. The members of the rest, each once, however many buckets it is in, go to an exact search
+2. Nodes with an equal key meet in a bucket. A bucket is never expanded into pairs: members are
+   compared once with the best of their ordered band, and the best of each ordered band with
+   the bucket's top (best: the one that meets most others over all its buckets). The links make classes.
+3. A bucket whose members are of one class is settled: all its pairs are of that class; so is one
+   whose members but for the top are, if all were compared with the top. The members of the rest,
+   each once, however many buckets it is in, go to an exact search
    across classes (``rest``): the rarest shingles of a text, so many that no similar text can
    lack them all, are its keys, and the texts of different classes under one key are compared
    in blocks of centres until none is left.
@@ -80,11 +82,10 @@ def labelled(h: np.ndarray, d: np.ndarray) -> np.ndarray:
     return mix(h ^ mix(times.astype(U64) + U64(77)))
 
 
-def signatures(lab: np.ndarray, n: int, ordered: bool = True) -> np.ndarray:
-    """n Order MinHash signatures of the labelled k-mers of one text, given in text order; not ordered: of their set."""
+def samples(lab: np.ndarray, n: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """Of n hash functions, some at a time: the places of the ELL k-mers with the smallest values, a row each."""
     a, b = SEEDS[:n], SEEDS[n : 2 * n] | U64(1)
     step = max(1, (1 << 20) // max(1, len(lab)))
-    out = np.empty(n, U64)
     for i in range(0, n, step):
         v = (lab[None, :] ^ a[i : i + step, None]) * b[i : i + step, None]
         rows = np.arange(len(v))
@@ -93,28 +94,43 @@ def signatures(lab: np.ndarray, n: int, ordered: bool = True) -> np.ndarray:
             at = v.argmin(axis=1)
             picks.append(at)
             v[rows, at] = TOP
-        at = np.stack(picks)
-        if ordered:
-            at.sort(axis=0)
-        s = np.zeros(len(v), U64)
-        for p in at:
-            s = mix(s * U64(3) + lab[p])
-        out[i : i + step] = s
-    return out
-
-
-def band_keys(lab: np.ndarray, bands: int, rows: int, ordered: bool = True) -> np.ndarray:
-    s = signatures(lab, bands * rows, ordered).reshape(bands, rows)
+        yield slice(i, i + step), np.stack(picks)
+
+
+def folded(lab: np.ndarray, at: np.ndarray) -> np.ndarray:
+    s = np.zeros(at.shape[1], U64)
+    for p in at:
+        s = mix(s * U64(3) + lab[p])
+    return s
+
+
+def signatures(lab: np.ndarray, n: int) -> np.ndarray:
+    """n Order MinHash signatures of the labelled k-mers of one text, given in text order."""
+    return np.concatenate([folded(lab, np.sort(at, axis=0)) for _, at in samples(lab, n)])
+
+
+def banded(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    s = s.reshape(bands, rows)
     out = np.arange(bands).astype(U64)
     for r in range(rows):
         out = mix(out * U64(5) + s[:, r])
     return out.view(np.int64)
 
 
-def all_bands(lab: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Bands of the set of first occurrences, then those of all labelled k-mers where any repeats."""
-    out = band_keys(lab[first], bands, rows, ordered=False)
-    return out if first.all() else np.concatenate([out, band_keys(lab, bands, rows)])
+def all_bands(lab: np.ndarray, first: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a text's buckets, and the ordered keys that tell members of a bucket apart.
+
+    The buckets are those of the samples of first occurrences, whatever their order; each with the
+    ordered key of the same sample, which is the Order MinHash band of a text without repetitions.
+    Where a shingle repeats, the Order MinHash bands of all labelled k-mers are buckets besides.
+    """
+    one = lab[first]
+    found = [(folded(one, at), folded(one, np.sort(at, axis=0))) for _, at in samples(one, bands * rows)]
+    keys, orders = (banded(np.concatenate(x), bands, rows) for x in zip(*found))
+    if first.all():
+        return keys, orders
+    own = banded(signatures(lab, bands * rows), bands, rows)
+    return np.concatenate([keys, own]), np.concatenate([orders, own])
 
 
 def text_key(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
@@ -132,7 +148,7 @@ def text_key(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
 
 
 def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, rid, key, bands of every row; bands are null where a text has no words."""
+    """doc_id, rid, key, bands, orders of every row; bands and orders are null where a text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,10 +162,11 @@ def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 at, word_at, low = doc_slices(d, j - i), doc_slices(doc, j - i), LOWER[x]
                 for n in range(j - i):
                     keys.append(text_key(low, s[word_at[n] : word_at[n + 1]], e[word_at[n] : word_at[n + 1]]))
-                    found.append(all_bands(lab[at[n] : at[n + 1]], first[at[n] : at[n + 1]], bands, rows) if at[n + 1] > at[n] else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "rid", "key", "bands"])
+                    found.append(all_bands(lab[at[n] : at[n + 1]], first[at[n] : at[n + 1]], bands, rows) if at[n + 1] > at[n] else (None, None))
+            both = [pa.array([x[k] for x in found], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.binary()), *both], ["doc_id", "rid", "key", "bands", "orders"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_id().alias("rid")), run, "doc_id long, rid long, key binary, bands array<long>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_id().alias("rid")), run, "doc_id long, rid long, key binary, bands array<long>, orders array<long>")
 
 
 def common_prefix(ha: np.ndarray, hb: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -291,17 +308,23 @@ def word_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links (key, centre) between nodes (key, rid, bands): as classes (key, label) of those found by buckets, and the others."""
-    rows = nodes.where("bands is not null").select("key", "rid", F.posexplode("bands").alias("n", "band")).select(F.xxhash64("n", "band").alias("b"), "key", "rid")
+    """Confirmed links (key, centre) between nodes (key, rid, bands, orders): as classes (key, label) of those found by buckets, and the others."""
+    both = F.posexplode(F.arrays_zip("bands", "orders")).alias("n", "x")
+    rows = nodes.where("bands is not null").select("key", "rid", both).select(F.xxhash64("n", "x.bands").alias("b"), F.col("x.orders").alias("o"), "key", "rid")
     shared = cut(rows.join(rows.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "b"), shuffled=True)
     # how many others a node meets, over all its buckets: the higher, the better a centre
     rank = cut(shared.groupBy("key").agg(F.sum("c").alias("met"), F.min("rid").alias("rid")), shuffled=True)
     texts = cut(word_table(docs, rank), shuffled=True)
-    rows = cut(shared.select("b", "key").join(rank.select("key", "met"), "key"), shuffled=True)
+    rows = cut(shared.select("b", "o", "key").join(rank.select("key", "met"), "key"), shuffled=True)
     release(shared)
-    centres = rows.groupBy("b").agg(F.max(F.struct("met", "key")).alias("best")).select("b", F.col("best.key").alias("centre"))
-    met = cut(rows.join(centres, "b").where("key <> centre").select("b", "key", "centre"), shuffled=True)
-    release(rows, rank)
+    # members of one order meet the best of them, and the best of each order the best of the bucket
+    near = cut(rows.groupBy("b", "o").agg(F.max(F.struct("met", "key")).alias("near")), shuffled=True)
+    tops = near.groupBy("b").agg(F.max("near").alias("top"))
+    centres = near.join(tops, "b").select("b", "o", F.col("near.key").alias("near"), F.col("top.key").alias("top"))
+    centre = F.when(F.col("key") == F.col("near"), F.col("top")).otherwise(F.col("near"))
+    met = rows.join(centres, ["b", "o"]).where("key <> top").select("b", "key", centre.alias("centre"), "top")
+    met = cut(met, shuffled=True)
+    release(rows, rank, near)
     tested = cut(met.select("key", "centre").distinct(), shuffled=True)
     found = cut(verify(tested, texts, threshold), shuffled=True)
     label = classes(found)
@@ -316,10 +339,12 @@ def links(nodes: DataFrame, docs: DataFrame, threshold: float) -> tuple[DataFram
 def unsettled(met: DataFrame, label: DataFrame) -> DataFrame:
     """key, label of the members of buckets with a pair across classes that was never compared.
 
-    met: b, key, centre: a bucket's members but for the centre, all compared with it. So the pairs
-    never compared are those among them, and all are within a class if the members have one label.
+    met: b, key, centre, top: a bucket's members but for its top, each compared with its centre. Where
+    that is the top for all of them, the pairs never compared are those among them, and all are
+    within a class if the members have one label; elsewhere the top is one of the members too.
     """
-    members = met.select("b", "key").join(label, "key", "left").select("b", "key", F.coalesce("label", "key").alias("label"))
+    members = met.select("b", "key").unionAll(met.where("centre <> top").select("b", F.col("top").alias("key")).distinct())
+    members = members.join(label, "key", "left").select("b", "key", F.coalesce("label", "key").alias("label"))
     buckets = members.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("b")
     return cut(members.join(buckets, "b", "left_semi").select("key", "label").distinct(), shuffled=True)
 
@@ -363,9 +388,9 @@ def rare_first(texts: DataFrame, threshold: float) -> DataFrame:
 
 def rest(nodes: DataFrame, tested: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """All links (key, centre) across the classes of nodes (key, label) that tested lacks."""
-    found = texts.sparkSession.createDataFrame([], "key binary, centre binary")
     if nodes.isEmpty():
-        return found
+        return texts.sparkSession.createDataFrame([], "key binary, centre binary")
+    found = cut(texts.sparkSession.createDataFrame([], "key binary, centre binary"))
     own = cut(nodes.join(texts, "key").select("key", "label", "words"), shuffled=True)
     keyed = rare_first(own, threshold)
     groups = keyed.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels"))
@@ -376,26 +401,30 @@ def rest(nodes: DataFrame, tested: DataFrame, texts: DataFrame, threshold: float
     # at the first key that two similar texts share, what both have left must hold all they share
     enough = F.least(F.col("size") - F.col("at"), F.col("long") - F.col("place")) >= threshold / (1 + threshold) * (F.col("size") + F.col("long")) - 1e-6
     pair = [F.least("key", "centre").alias("key"), F.greatest("key", "centre").alias("centre")]
-    tested = tested.select(*pair)
+    tested = cut(tested.select(*pair).distinct(), shuffled=True)
     turn = 0
     while not todo.isEmpty():
         best = F.min(F.struct("key", "label", "size", "at")).alias("best")
         centres = cut(todo.groupBy("h", F.pmod(F.xxhash64("key"), F.lit(BLOCK)).alias("part")).agg(best).select("h", F.col("best.key").alias("centre"), F.col("best.label").alias("of"), F.col("best.size").alias("long"), F.col("best.at").alias("place")), shuffled=True)
         met = rows.join(centres, "h").where((F.col("label") != F.col("of")) & enough)
         pairs = cut(met.select(*pair).distinct().join(tested, ["key", "centre"], "left_anti"), shuffled=True)
-        found = found.unionAll(cut(verify(pairs, own.select("key", "words"), threshold), shuffled=True))
-        tested = tested.unionAll(pairs)
+        new = cut(verify(pairs, own.select("key", "words"), threshold), shuffled=True)
+        # one table of links and one of tested pairs, whatever the number of turns
+        parts, found = (found, new), cut(found.unionAll(new))
+        release(*parts)
+        parts, tested = (tested, pairs), cut(tested.unionAll(pairs))
+        release(*parts)
         old, todo = todo, cut(todo.join(centres.select("h", F.col("centre").alias("key")), ["h", "key"], "left_anti"), shuffled=True)
         release(centres, *([old] if turn else []))
         turn += 1
-    release(rows, own, *([todo] if turn else []))
+    release(rows, own, tested, *([todo] if turn else []))
     return found
 
 
 def grouped(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 2) -> DataFrame:
     """doc_id, rid, key of its text, label of its class, class_id, class_size of every row of docs."""
     base = cut(sketch(docs, bands, rows))
-    nodes = cut(base.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), shuffled=True)
+    nodes = cut(base.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("orders").alias("orders")), shuffled=True)
     label, more = links(nodes, docs, threshold)
     if not more.isEmpty():
         label = classes(label.unionAll(more))

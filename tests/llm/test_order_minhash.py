@@ -198,10 +198,12 @@ def test_bands_of_a_set_do_not_see_order_or_repetitions():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
     bands = lambda h: o.all_bands(lab := o.labelled(h, np.zeros(len(h), np.int64)), lab == o.mix(h ^ o.FIRST), 20, 2)
-    a = bands(h)
-    assert len(a) == 20 and (bands(h[::-1].copy()) == a).all()
-    twice = bands(np.concatenate([h, h[:150]]))
-    assert len(twice) == 40 and (twice[:20] == a).all()
+    a, order = bands(h)
+    b, other = bands(h[::-1].copy())
+    assert len(a) == len(order) == 20 and (a == b).all() and (order == other).mean() < 0.2
+    assert (order == o.banded(o.signatures(o.labelled(h, np.zeros(200, np.int64)), 40), 20, 2)).all()
+    twice, labelled = bands(np.concatenate([h, h[:150]]))
+    assert len(twice) == len(labelled) == 40 and (twice[:20] == a).all() and (twice[20:] == labelled[20:]).all()
 
 
 def test_keep_one_keeps_a_text_of_every_class_where_ids_repeat(spark):
