@@ -43,7 +43,7 @@ MAX_N, LEAST, SHARE, TOP, SCALE = 3, 10, 50, 2000, 1_000_000
 #: Parts of a language that are ranked apart before the whole is.
 PARTS = 64
 #: Bytes of text whose n-grams are counted together before they are rows, and rows of an Arrow batch.
-BATCH_BYTES, OUT_ROWS = 4 << 20, 1 << 16
+BATCH_BYTES, OUT_ROWS = 2 << 20, 1 << 16
 
 
 class Grams:
@@ -140,7 +140,7 @@ def frequent(docs: DataFrame, max_n: int = MAX_N, least: int = LEAST) -> tuple[D
     def level(sizes: range, known: Broadcast | None) -> DataFrame:
         rows = phrases(docs, sizes, known).repartition("lang", "phrase")  # equal phrases of a batch are one row already
         counts = rows.groupBy("lang", "phrase").agg(F.sum("times").alias("f"))
-        return cut(counts.where((F.col("f") >= least) | F.col("phrase").isNull()).select("lang", F.size(F.split("phrase", " ")).alias("size"), "phrase", "f"), shuffled=True)
+        return cut(counts.where((F.col("f") >= least) | F.col("phrase").isNull()).select("lang", F.size(F.split("phrase", " ")).alias("size"), "phrase", "f"))
 
     first = level(range(1, min(2, max_n) + 1), None)
     n = first.where("phrase is null").select("lang", F.col("f").alias("n"))
