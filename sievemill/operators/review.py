@@ -123,3 +123,35 @@ def ordered_distinct(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -
 def pivoted(df: DataFrame, key: str, column: str, values: Sequence[str], value: str, order: Column | str) -> DataFrame:
     """One row a key with a column for each of the given values; of several rows the last by order stands."""
     return df.groupBy(key).pivot(column, list(values)).agg(F.max_by(value, order))
+
+
+def review_contexts(steps: Column, artifacts: Column, reviews: Column, max_steps: int) -> Column:
+    """What each review of a case was shown, replayed from the order of its reviews: array of (decision, force, executed, remaining, signature).
+
+    steps: the planned ones; reviews: array of (decision, steps), null ones are passed over. A review after the i-th step sees
+    what remains after it and must answer if nothing does or max_steps are done; a later one sees no
+    steps and must answer. A revision replaces what remains. One fold a row, whatever the number of reviews.
+    """
+    none = F.slice(steps, F.lit(1), F.lit(0))
+    n = F.coalesce(F.size(artifacts), F.lit(0))
+
+    def fold(acc: Column, i: Column) -> Column:
+        review, during = F.get(reviews, i), i < n
+        shown = F.when(during, F.slice(acc["remaining"], F.lit(2), F.greatest(F.size(acc["remaining"]) - 1, F.lit(0)))).otherwise(none)
+        executed = F.when(during, i + 1).otherwise(n)
+        force = ~during | (F.size(shown) == 0) | (executed >= max_steps)
+        signature = F.sha2(F.to_json(F.struct(F.slice(artifacts, F.lit(1), executed).alias("executed"), shown.alias("remaining"), force.alias("force"))), 256)
+        context = F.struct(review["decision"].alias("decision"), force.alias("force"), executed.alias("executed"), shown.alias("remaining"), signature.alias("signature"))
+        left = F.when(review["decision"] == "revise", F.coalesce(review["steps"], none)).when(during, shown).otherwise(acc["remaining"])
+        moved = F.struct(left.alias("remaining"), F.array_append(acc["out"], context).alias("out"))
+        return F.when(review.isNull(), acc).otherwise(moved)
+
+    kind = F.struct(F.lit(None).cast("string").alias("decision"), F.lit(False).alias("force"), F.lit(0).alias("executed"), none.alias("remaining"), F.lit("").alias("signature"))
+    start = F.struct(F.coalesce(steps, none).alias("remaining"), F.slice(F.array(kind), F.lit(1), F.lit(0)).alias("out"))
+    places = F.when(F.size(reviews) > 0, F.sequence(F.lit(0), F.size(reviews) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, start, fold, lambda acc: acc["out"])
+
+
+def final_context(contexts: Column) -> Column:
+    """The signature of the last review that answered; null if none did."""
+    return F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(contexts, lambda c: c["decision"] == "final_answer"), lambda c: c["signature"])), -1)
