@@ -20,6 +20,17 @@ WORDS = {"true": True, "false": False, "null": None, "True": True, "False": Fals
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
 
+def literal(w: str) -> object:
+    """The constant or finite number that a word is, else the word itself."""
+    if w in WORDS:
+        return WORDS[w]
+    try:
+        number = json.loads(w)
+    except ValueError:
+        return w
+    return number if isinstance(number, (int, float)) and number == number and abs(number) != float("inf") else w
+
+
 class Reader:
     """One pass over nearly valid JSON with a stack of open containers; values that a text holds one after another are all returned.
 
@@ -78,14 +89,13 @@ class Reader:
         start = self.i
         while self.i < len(self.s) and self.s[self.i] not in stops:
             self.i += 1
-        w = self.s[start : self.i].strip(SPACE)
-        if w in WORDS:
-            return WORDS[w]
-        try:
-            number = json.loads(w)
-            return number if isinstance(number, (int, float)) and number == number and abs(number) != float("inf") else w
-        except ValueError:
-            return w
+        first, _, rest = self.s[start : self.i].strip(SPACE).partition(" ")
+        value = literal(first)
+        if rest.lstrip(SPACE)[:1] in tuple(QUOTES) and value is not first:
+            # a number or constant and, without a comma, a string
+            self.i = start + len(first)
+            return value
+        return value if not rest else self.s[start : self.i].strip(SPACE)
 
     def values(self) -> list:
         """The objects and lists of the text, in order."""

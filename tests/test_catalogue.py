@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from sievemill.plans import casework, catalogue  # noqa: F401
+from sievemill.plans import casework, catalogue, workflow  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -23,6 +23,7 @@ BROKEN = [
     ('{“a”: “b”}', {"a": "b"}, False),
     ('{"a": "unclosed', {"a": "unclosed"}, False),
     ('{"a": "x",, "b": "y"}', {"a": "x", "b": "y"}, False),
+    ('{"a": 1 "b": true "c": x "d": 2}', {"a": 1, "b": True, "c": 'x "d": 2'}, False),
     ("{}{}", {}, True),
     ("[1, 2]", None, False),
     ("no json at all", None, False),
