@@ -18,10 +18,17 @@ bucket. So one source may hold any share of all rows.
 
 The driver plans lanes. A source is a lane of its own while there are at most ``max_sources``; beyond
 that, those with a given weight (at most ``max_sources``, else it is an error) and the largest others are, and the
-rest are pooled by size class (powers of two, so at most 64 more lanes), mixed by hash within a
-class, whose weight is the sum of theirs. So what is collected and broadcast is bounded: a row a
+rest are pooled by size class (powers of two, so at most 64 more lanes), whose weight is the sum of
+theirs. So what is collected and broadcast is bounded: a row a
 lane, and a row a lane and phase with at most ``shares`` (or lanes, if more) slots a phase in all.
 
+Within a pooled lane the sources are scheduled once more, by arithmetic alone: document i of a
+source with weight w is due at (i + 1/2) / w, and the lane's order is that of the due times. At any
+point of the lane a source of it is within half a document of w times the time reached, and that time within
+half a document a source of its own; as the weights of a class differ by a factor of 1.42 at most, that is
+1.3 documents in all. Its share of the lane's own deviation is under 1.42 / k blocks for k sources. So
+with the usual block of 16 documents any number of sources stay within one block of their weights.
+
 The default weights are the square roots of the sources' sizes (temperature 2). Edge cases: a
 null source is a source of its own; sources without a given weight share one smallest share
 each, after the others; repeated rows are placed like any other; rows of one doc_id are ordered by a
@@ -115,8 +122,8 @@ def row_hash(docs: DataFrame, columns: list[str]) -> Column:
     return F.xxhash64(*[F.to_json(F.struct(docs[f"`{c}`"])) if has_map(fields[c]) else docs[f"`{c}`"] for c in columns])
 
 
-def lanes_of(docs: DataFrame, weights: dict | None, max_sources: int) -> tuple[DataFrame, dict, dict]:
-    """docs with __lane, the number of rows and the weight of each lane."""
+def lanes_of(docs: DataFrame, weights: dict | None, max_sources: int) -> tuple[DataFrame, dict, dict, int]:
+    """docs with __lane and, of sources in pooled lanes, __n (their rows, else null); the number of rows and the weight of each lane; how many lanes are a source's own."""
     sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     n_sources = sizes.count()
     given = {k: w for k, w in (weights or {}).items() if w and w > 0}
@@ -141,15 +148,32 @@ def lanes_of(docs: DataFrame, weights: dict | None, max_sources: int) -> tuple[D
         least = min((given[r["source"]] for r in named if r["source"] in given), default=1.0)
         weight = {i: given.get(r["source"], least * 1e-9) for i, r in enumerate(named)}
     if n_sources <= max_sources:
-        return dealt.withColumn("__lane", F.col("__own")), counts, weight
+        return dealt.withColumns({"__lane": F.col("__own"), "__n": F.lit(None).cast("long")}), counts, weight, len(named)
     # the pooled sources are many small ones, so their sizes are joined, not broadcast
     size_class = F.floor(F.log2("n")).cast("int")
     rest = sizes.join(own, F.col("source").eqNullSafe(F.col("__of")), "left_anti").select(F.col("source").alias("__small"), size_class.alias("__class"), "n")
     for r in rest.groupBy("__class").agg(F.sum("n").alias("n"), F.sum(F.sqrt("n")).alias("w"), F.count(F.lit(1)).alias("k")).collect():
         lane = len(named) + r["__class"]
         counts[lane], weight[lane] = r["n"], r["w"] if weights is None else least * 1e-9 * r["k"]
-    pooled = dealt.where("__own is null").join(rest.select("__small", "__class"), F.col("source").eqNullSafe(F.col("__small"))).withColumn("__lane", F.col("__class") + len(named)).drop("__small", "__class")
-    return dealt.where("__own is not null").withColumn("__lane", F.col("__own")).unionByName(pooled), counts, weight
+    pooled = dealt.where("__own is null").join(rest.select("__small", "__class", F.col("n").alias("__n")), F.col("source").eqNullSafe(F.col("__small"))).withColumn("__lane", F.col("__class") + len(named)).drop("__small", "__class")
+    own_lanes = dealt.where("__own is not null").withColumns({"__lane": F.col("__own"), "__n": F.lit(None).cast("long")})
+    return own_lanes.unionByName(pooled), counts, weight, len(named)
+
+
+def due_times(dealt: DataFrame, first: int, rooted: bool, bucket_docs: int) -> DataFrame:
+    """dealt with __due (0 to 1, of the lane's time; null where a lane is one source): (rank in the source + 1/2) over its weight."""
+    part = F.expr(f"shiftright(shiftrightunsigned(__h, 33) * greatest(1, __n div {bucket_docs}), 31)")
+    pooled = dealt.where("__n is not null").withColumn("__part", part)
+    rank = F.row_number().over(Window.partitionBy("source", "__part").orderBy("__h", "__id", "__row"))
+    pooled = pooled.withColumn("__in", rank)
+    parts = pooled.groupBy("source", "__part").agg(F.count(F.lit(1)).alias("__c"))
+    before = parts.select(F.col("source").alias("__of"), F.col("__part").alias("__p"), (F.sum("__c").over(Window.partitionBy("source").orderBy("__part")) - F.col("__c")).alias("__before"))
+    pooled = pooled.join(before, F.col("source").eqNullSafe(F.col("__of")) & (F.col("__part") == F.col("__p")))
+    # weights of a source of n rows: its root, or 1; the last document of the largest source of class c is due before the lane's end
+    weight, end = (F.sqrt("__n"), F.pow(F.lit(2.0), (F.col("__lane") - first + 1) / 2)) if rooted else (F.lit(1.0), F.pow(F.lit(2.0), F.col("__lane") - first + 1))
+    due = (F.col("__in") + F.col("__before") - 0.5) / weight / end
+    pooled = pooled.withColumn("__due", due).drop("__part", "__in", "__of", "__p", "__before")
+    return dealt.where("__n is null").withColumn("__due", F.lit(None).cast("double")).unionByName(pooled)
 
 
 def mix_sources(docs: DataFrame, weights: dict | None = None, block_docs: int = 16, shares: int = SHARES, bucket_docs: int = 4096, seed: str = "mix", max_sources: int = 512) -> DataFrame:
@@ -158,7 +182,7 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block_docs: int =
     # a row travels as one struct, so no column of docs can clash with the names used here
     kept = [c for c in docs.columns if c not in ADDED]
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in kept]).alias("row"), docs["source"].alias("source"), docs["doc_id"].alias("__id"), row_hash(docs, kept).alias("__row"))
-    rows, counts, weight = lanes_of(rows, weights, max_sources)
+    rows, counts, weight, first = lanes_of(rows, weights, max_sources)
     blocks = {k: -(-n // block_docs) for k, n in counts.items()}
     share = whole_shares(weight, shares)
     # (lane, phase, position in the period) -> slot; bounded by shares x lanes, whatever the number of documents
@@ -170,11 +194,13 @@ def mix_sources(docs: DataFrame, weights: dict | None = None, block_docs: int =
         for k, own in offsets.items():
             plan_rows.append((k, n, p["before"][k], p["before"][k] + p["used"][k], p["start"], len(p["order"]), own))
     buckets = spark.createDataFrame([(k, max(1, n // bucket_docs)) for k, n in counts.items()] or [(0, 1)], "__lane int, n_buckets long")
-    dealt = rows.select("row", "__lane", "__id", "__row", F.when(F.col("__id").isNull(), F.col("__row")).otherwise(F.xxhash64(F.lit(seed), "__id")).alias("__h"))
-    dealt = dealt.join(F.broadcast(buckets), "__lane").withColumn("__bucket", F.expr("shiftright(shiftrightunsigned(__h, 33) * n_buckets, 31)")).drop("n_buckets")
+    dealt = rows.select("row", "source", "__lane", "__n", "__id", "__row", F.when(F.col("__id").isNull(), F.col("__row")).otherwise(F.xxhash64(F.lit(seed), "__id")).alias("__h"))
+    dealt = due_times(dealt, first, weights is None, bucket_docs) if len(counts) > first else dealt.withColumn("__due", F.lit(None).cast("double"))
+    bucket = F.when(F.col("__due").isNull(), F.expr("shiftright(shiftrightunsigned(__h, 33) * n_buckets, 31)")).otherwise(F.floor(F.col("__due") * F.col("n_buckets")))
+    dealt = dealt.join(F.broadcast(buckets), "__lane").withColumn("__bucket", bucket).drop("n_buckets")
     sizes = dealt.groupBy("__lane", "__bucket").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("__lane", "__bucket", (F.sum("n").over(Window.partitionBy("__lane").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("__before"))
-    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("__lane", "__bucket").orderBy("__h", "__id", "__row")) - 1).join(before, ["__lane", "__bucket"])
+    ranked = dealt.withColumn("__rank", F.row_number().over(Window.partitionBy("__lane", "__bucket").orderBy("__due", "__h", "__id", "__row")) - 1).join(before, ["__lane", "__bucket"])
     ranked = ranked.withColumn("source_rank", (F.col("__rank") + F.col("__before")).cast("long")).withColumn("block", F.expr(f"source_rank div {block_docs}"))
     plan = spark.createDataFrame(plan_rows or [(0, 0, 0, 0, 0, 1, [0])], "p_lane int, phase int, first_block long, end_block long, start long, period long, offsets array<long>")
     placed = ranked.join(F.broadcast(plan), (F.col("__lane") == F.col("p_lane")) & (F.col("block") >= F.col("first_block")) & (F.col("block") < F.col("end_block")))

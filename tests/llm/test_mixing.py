@@ -86,3 +86,65 @@ def test_order_does_not_depend_on_partitioning(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, extra map<string,string>")
     place = lambda d: {r.text: (r.slot, r.slot_rank) for r in m.mix_sources(d, bucket_docs=20).collect()}
     assert place(df.repartition(1)) == place(df.repartition(7))
+
+
+@pytest.mark.parametrize("weights", [None, {"big": 3.0, "next": 2.0}])
+def test_thousands_of_sources_deviate_by_less_than_a_block(spark, weights):
+    size = {f"h{i}": 16 + (7 * i) % 16 for i in range(5000)} | {"big": 30_000, "next": 20_000}
+    rows = [(k, n) for k, n in size.items()]
+    df = spark.createDataFrame(rows, "source string, n int").selectExpr("source", "explode(sequence(1, n)) as i").selectExpr("xxhash64(source, i) as doc_id", "source").repartition(8)
+    out = m.mix_sources(df, weights, max_sources=2).select("source", "slot", "slot_rank").toPandas()
+    assert len(out) == sum(size.values())
+    out = out.sort_values(["slot", "slot_rank"]).reset_index(drop=True)
+    pooled = out[out.source.str.startswith("h")].reset_index(drop=True)
+    # within their lane: proportional to the roots of the sizes (or equal), until the first source has run out
+    weight = {k: math.sqrt(n) if weights is None else 1.0 for k, n in size.items() if k.startswith("h")}
+    total = sum(weight.values())
+    ends = pooled.groupby("source").apply(lambda g: g.index[-1], include_groups=False)
+    first_end, worst = ends.min(), 0.0
+    for k, own in pooled.groupby("source").indices.items():
+        for i, at in enumerate(own):
+            if at < first_end:
+                worst = max(worst, abs(i + 1 - (at + 1) * weight[k] / total), abs(i - at * weight[k] / total))
+    assert worst < 1.5  # documents, of 16 a block
+    # lanes: within one block of their shares as long as none has run out
+    lanes = out.source.where(~out.source.str.startswith("h"), "pool")
+    share = m.whole_shares({"big": math.sqrt(30_000), "next": math.sqrt(20_000), "pool": total} if weights is None else {"big": 3.0, "next": 2.0, "pool": 2e-9 * 5000})
+    done, n_blocks = Counter(), {k: math.ceil(sum(lanes == k) / 16) for k in share}
+    for slot, k in enumerate(out.assign(lane=lanes).groupby("slot").lane.first(), 1):
+        done[k] += 1
+        if done[k] == n_blocks[k]:
+            break
+        assert all(abs(done[x] - slot * share[x] / sum(share.values())) < 1 for x in share)
+
+
+def plain_schedule(rows, weights, block_docs, shares):
+    """Order of sources' blocks by earliest deadline, slot by slot, over the whole table."""
+    n = Counter(r[1] for r in rows)
+    left = {k: math.ceil(c / block_docs) for k, c in n.items()}
+    share, done, out = m.whole_shares(weights, shares), Counter(), []
+    while left:
+        part = {k: share[k] for k in left}
+        g = math.gcd(*part.values())
+        part, total, own, t, over = {k: v // g for k, v in part.items()}, sum(part.values()) // g, Counter(), 0, False
+        while not over:
+            ready = [k for k in part if own[k] * total // part[k] <= t]
+            k = min(ready, key=lambda k: (-(-(own[k] + 1) * total // part[k]), k is None, str(k)))
+            out.append((k, done[k]))
+            own[k] += 1
+            done[k] += 1
+            t += 1
+            left[k] -= 1
+            if not left[k]:
+                over = True
+                del left[k]
+    return out
+
+
+def test_whole_schedule(spark):
+    rows = [(i, "abc"[i % 3 if i % 5 else 0], "x") for i in range(700)] + [(900, None, "x")] * 9
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for weights in ({"a": 1, "b": 2, "c": 4, None: 1}, {"a": 5, "b": 1, "c": 1, None: 1}):
+        out = m.mix_sources(df, weights, block_docs=4, shares=16).collect()
+        slots = {r.slot: (r.source, r.block) for r in out}
+        assert [slots[t] for t in range(len(slots))] == plain_schedule(rows, weights, 4, 16)
