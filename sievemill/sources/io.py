@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -89,3 +89,29 @@ def markdown(df: DataFrame, limit: int = 100) -> str:
     rows = df.limit(limit).collect()
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows)]) + "\n"
+
+
+def row_indexed(spark: SparkSession, path: str, name: str = "row_index") -> DataFrame:
+    """A Parquet table with the place of each row, from 0: files in the order of their names, rows in that of the file.
+
+    Places come from the files' metadata, so they do not depend on how the scan is split. Beside the
+    scan there is one of no columns, for the rows of each file.
+    """
+    df = spark.read.parquet(path)
+    sizes = df.groupBy(F.col("_metadata.file_name").alias("_file")).agg(F.count(F.lit(1)).alias("_n"))
+    # a row a file
+    before = sizes.select("_file", (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_before"))
+    rows = df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    return rows.join(before, "_file").withColumn(name, F.col("_before") + F.col("_at")).drop("_file", "_before", "_at")
+
+
+def with_raw(df: DataFrame, raw: DataFrame, key: str, columns: list[str], index: str = "row_index", pattern: str = r"(\d+)$") -> DataFrame:
+    """df with its null columns filled from raw (row_indexed), at the row that the key ends with; fails at run time if that is no row."""
+    place = F.regexp_extract(F.col(key).cast("string"), pattern, 1).try_cast("long")
+    lacks = F.lit(False)
+    for c in columns:
+        lacks = lacks | F.col(c).isNull()
+    rows = df.withColumn("_place", F.when(lacks, F.coalesce(place, F.lit(-1))))
+    found = rows.join(raw.select(F.col(index).alias("_place"), F.lit(True).alias("_there"), *[F.col(c).alias(f"_raw_{c}") for c in columns]), "_place", "left")
+    ok = F.when(F.col("_place").isNull() | F.col("_there"), True).otherwise(F.raise_error(F.concat(F.lit("no raw row for "), F.col(key).cast("string"))).cast("boolean"))
+    return found.where(ok).withColumns({c: F.coalesce(c, f"_raw_{c}") for c in columns}).select(*df.columns)
