@@ -10,13 +10,15 @@ of (leave one out), so that a labelled document is not judged by its own label.
 is smoothed towards the raw one, ``prior`` raw counts a bucket on both: with t and r the others'
 counts of a bucket and s their trusted share of all n-grams, the log ratio of a bucket is
 log((t + prior * s) / (s * (r + prior))), 0 where the others know nothing. A document's ratio is the mean
-over its n-grams, and it is kept if the ratio is at least ``least_ratio`` and it has not failed a
-base rule.
+over its n-grams. It is kept if it has not failed a base rule and its ratio reaches a bound that the
+trusted documents that have not failed set, who are judged by the others too: their median less
+``margin`` times its distance to their quantile ``lowest``. Both are exact, of ratios rounded to four digits,
+so that the aggregation holds few values at any size.
 
 Word windows are compared by 64-bit hashes of their eight words. Edge cases: a null or empty
 text has no words, ratio 0, and fails; repeated rows are counted and judged as often as they stand
 there; null doc_ids have no label; without other trusted documents ratios are 0; extra columns are
-left out; an empty table gives no rows.
+left out; without trusted documents the bound is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,15 +28,16 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import cut, let
 
 SPACE = r"[\x20\x09-\x0D]+"
 RUN = 8
 BUCKETS = 1 << 14
 #: Raw counts that both sides have of every bucket beforehand. At 10 the bias against rare words is under 0.01 nats.
 PRIOR = 10
-#: Nats an n-gram. Clean text lies around 0 (99 % of labelled good ones above -0.09 at 1,000 documents, in each language); junk, which the trusted side lacks, well below.
-LEAST_RATIO = -0.1
+#: The bound lies MARGIN times as far below the median ratio of the trusted documents that pass the base rules as their
+#: quantile LOWEST does: the lowest of a sample is not the lowest of all, the less so the smaller the sample.
+LOWEST, MARGIN = 0.003, 1.25
 
 
 def words(text: Column) -> Column:
@@ -116,8 +119,8 @@ def ratio(g: Column, own_trusted: Column, raw: list[int], trusted: list[int], pr
     return F.when(known, let(F.struct(firsts.alias("f"), share.alias("s")), lambda x: summed(x["f"], x["s"]) / n - F.log(x["s"]))).otherwise(0.0)
 
 
-def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, least_ratio: float = LEAST_RATIO) -> DataFrame:
-    """The columns of the contract, and ratio."""
+def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, lowest: float = LOWEST, margin: float = MARGIN) -> DataFrame:
+    """The columns of the contract, and ratio and least_ratio."""
     rows = marked(docs, labels)
     raw, trusted = counted(rows, buckets)
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -134,10 +137,15 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: flo
 
     rows = rows.select(
         "doc_id",
+        "trusted",
         let(words(F.col("text")), lambda w: let(hashed(w), lambda h: measured(w, h))).alias("m"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-    ).select("doc_id", "m.*", "n_symbols", "n_dup_lines")
+    ).select("doc_id", "trusted", "m.*", "n_symbols", "n_dup_lines")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= least_ratio))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio")
+    # written, as the bound needs all ratios before any verdict
+    rows = cut(rows.withColumn("base_failed", failed))
+    low, middle = rows.where("trusted = 1 and not base_failed").agg(*[F.percentile(F.round("ratio", 4), F.lit(q)) for q in (lowest, 0.5)]).first()
+    rows = rows.withColumn("least_ratio", F.lit(0.0 if low is None else middle - margin * (middle - low)))
+    rows = rows.withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= F.col("least_ratio")))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "least_ratio")

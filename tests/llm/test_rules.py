@@ -65,3 +65,19 @@ def test_label_of_a_document_does_not_decide_its_own_verdict(spark):
         assert abs(rate(known) - rate(others)) < 0.05
         assert rate([r for r in known if r.quality == 1]) > 0.95
     assert sum(r.kept for r in out if r.quality == 0) < sum(r.quality == 0 for r in out)
+
+
+def test_bound_is_the_quantile_of_trusted_ratios(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = {r.doc_id: r for r in rules.judge(docs, labels, lowest=0.02).collect()}
+    good = {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic}
+    ratios = sorted(round(out[i].ratio, 4) for i in good if not out[i].base_failed)
+    bound = next(iter(out.values())).least_ratio
+
+    def quantile(q):
+        place = q * (len(ratios) - 1)
+        low, high = ratios[math.floor(place)], ratios[math.ceil(place)]
+        return low + (high - low) * (place - math.floor(place))
+
+    assert math.isclose(bound, quantile(0.5) - 1.25 * (quantile(0.5) - quantile(0.02)), abs_tol=1e-9)
+    assert all(r.kept == (not r.base_failed and r.ratio >= bound) for r in out.values())
