@@ -99,12 +99,16 @@ def lookup_term(c: Column) -> Column:
     return F.when((F.length(t) > 4) & t.endswith("s"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
 
 
-def sanitize(c: Column, forbidden: Sequence[str] = ()) -> Column:
-    """Placeholders for forbidden terms, fact ids, case ids, money, percentages and long numbers, in this order."""
+# fixed values: what is replaced in texts, in this order
+PLACEHOLDERS = ((r"\bF[0-9]+\b", "[fact]"), (r"\bcase-[0-9]+\b", "[case]"), (r"[$€£] ?[0-9][0-9,.]*", "[amount]"), (r"[0-9]+(\.[0-9]+)? ?%", "[percent]"), (r"\b[0-9]{3,}\b", "[number]"))
+
+
+def sanitize(c: Column, forbidden: Sequence[str] = (), patterns: Sequence[tuple[str, str]] = PLACEHOLDERS) -> Column:
+    """Placeholders for forbidden terms, then for fact ids, case ids, money, percentages and long numbers, in this order."""
     out = safe(c)
     for term in forbidden:
         out = F.regexp_replace(out, rf"(?i)\Q{term}\E", "[entity]")
-    for pattern, placeholder in ((r"\bF[0-9]+\b", "[fact]"), (r"\bcase-[0-9]+\b", "[case]"), (r"[$€£] ?[0-9][0-9,.]*", "[amount]"), (r"[0-9]+(\.[0-9]+)? ?%", "[percent]"), (r"\b[0-9]{3,}\b", "[number]")):
+    for pattern, placeholder in patterns:
         out = F.regexp_replace(out, pattern, placeholder)
     return compact(out)
 
@@ -134,8 +138,8 @@ def snippet(c: Column, pattern: str, width: int) -> Column:
 
 
 def canonical_hash(*parts: Column) -> Column:
-    """sha256 of parts as one string; a null differs from an empty part."""
-    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts]), 256)
+    """sha256 of the parts as a JSON list of strings and nulls, so that different parts never look alike."""
+    return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)
 
 
 def binary_label(c: Column, positive: Sequence[str], negative: Sequence[str]) -> Column:

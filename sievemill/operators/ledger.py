@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_hash
+from .sampling import ranked
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -39,9 +40,9 @@ def run_hash(df: DataFrame, *parts: str) -> DataFrame:
 
 
 def shards(df: DataFrame, key: str, n: int) -> DataFrame:
-    """shard = rank of the distinct key modulo n; the ranks are of keys, not of rows."""
-    ranks = df.select(key).distinct().withColumn("shard", F.pmod(F.row_number().over(Window.orderBy(key)) - 1, F.lit(n)))
-    return df.join(ranks, key)
+    """shard = rank of the distinct key modulo n; the ranks are of keys, not of rows, and no task has all keys. Null keys have no shard and are left out."""
+    ranks = ranked(df.select(key).distinct().where(F.col(key).isNotNull()), [key], "__rank")
+    return df.join(ranks.select(key, F.pmod(F.col("__rank") - 1, F.lit(n)).cast("int").alias("shard")), key)
 
 
 def current(df: DataFrame, **context: str) -> DataFrame:

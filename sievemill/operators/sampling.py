@@ -108,20 +108,22 @@ def holdout(df: DataFrame, key: str, share: float, seed: str) -> DataFrame:
 
 def even_examples(df: DataFrame, category: str, order: str, k: int) -> DataFrame:
     """k evenly spaced rows of each category; the middle one for k = 1."""
-    w = Window.partitionBy(category)
-    ranked = df.withColumns({"__i": F.row_number().over(w.orderBy(order)) - 1, "__m": F.count(F.lit(1)).over(w)})
+    # places in the whole table less the first of the category, so no task has a category
+    placed = ranked(df, [category, order], "__r")
+    starts = placed.groupBy(F.col(category).alias("__of")).agg(F.min("__r").alias("__first"), F.count(F.lit(1)).alias("__m"))
+    rows = placed.join(starts, F.col(category).eqNullSafe(F.col("__of"))).withColumn("__i", F.col("__r") - F.col("__first"))
     if k == 1:
         places = F.array((F.col("__m") / 2).cast("int"))
     else:
         places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("__m") - 1) / F.lit(float(k - 1)), 0).cast("int"))
-    return ranked.where((F.col("__m") <= k) | F.array_contains(places, F.col("__i").cast("int"))).drop("__i", "__m")
+    return rows.where((F.col("__m") <= k) | F.array_contains(places, F.col("__i").cast("int"))).select(*df.columns)
 
 
 def batches(df: DataFrame, group: str, key: str, size: str, target: int) -> DataFrame:
     """df with a batch: each group dealt by hash into as many batches as its total size holds targets, rounded up."""
     n = df.groupBy(F.col(group).alias("of")).agg(F.greatest(F.lit(1), F.ceil(F.sum(size) / target)).alias("batches"))
     name = F.concat_ws("/", F.coalesce(F.col(group).cast("string"), F.lit("")), F.pmod(F.xxhash64(key), F.col("batches")))
-    return df.join(F.broadcast(n), F.col(group).eqNullSafe(F.col("of"))).withColumn("batch", name).drop("of", "batches")
+    return df.join(n, F.col(group).eqNullSafe(F.col("of"))).withColumn("batch", name).drop("of", "batches")
 
 
 def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:

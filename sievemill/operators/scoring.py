@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import ranked
+
 
 def group_means(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(f"mean_{m}") for m in metrics])
@@ -103,9 +105,9 @@ def distribution(population: DataFrame, selected: DataFrame, key: str) -> DataFr
 
 
 def terciles(df: DataFrame, value: str, key: str) -> DataFrame:
-    """short, medium or long by thirds of the rank of (value, key); ranks come from counts per value,
-    so no single task sorts the table."""
-    sizes = df.groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
-    upto = sizes.withColumn("__before", F.sum("__c").over(Window.orderBy(value)) - F.col("__c")).withColumn("__n", F.sum("__c").over(Window.partitionBy())).drop("__c")
-    ranked = df.join(upto, value).withColumn("__r", F.col("__before") + F.row_number().over(Window.partitionBy(value).orderBy(key)) - 1)
-    return ranked.withColumn("tercile", F.when(3 * F.col("__r") < F.col("__n") - 1, "short").when(3 * F.col("__r") < 2 * (F.col("__n") - 1), "medium").otherwise("long")).drop("__before", "__n", "__r")
+    """short, medium or long by thirds of the rank of (value, key), which a range-partitioned sort gives, whatever the values."""
+    rows = df.where(F.col(value).isNotNull())
+    n = rows.count()
+    place = F.col("__r") - 1
+    tercile = F.when(3 * place < n - 1, "short").when(3 * place < 2 * (n - 1), "medium").otherwise("long")
+    return ranked(rows, [value, key], "__r").withColumn("tercile", tercile).drop("__r")

@@ -69,8 +69,11 @@ def write_manifest(df: DataFrame, path: str) -> None:
 
 
 def append_ledger(df: DataFrame, ledger: DataFrame, path: str, key: str = "run_hash") -> None:
-    """Append the rows whose key has no 'ok' row yet; errors do not block a retry."""
-    df.join(ledger.where("status = 'ok'").select(key), key, "left_anti").write.mode("append").json(path)
+    """Append the rows whose key has no 'ok' row yet, one a key, an 'ok' one if there is any; errors do not block a retry."""
+    new = df.join(ledger.where("status = 'ok'").select(key), key, "left_anti")
+    row = F.struct(*[new[f"`{c}`"] for c in new.columns])
+    one = new.groupBy(key).agg(F.max_by(row, F.struct(F.col("status").eqNullSafe("ok"), F.to_json(row))).alias("row"))
+    one.select("row.*").write.mode("append").json(path)
 
 
 def blind(df: DataFrame, *hidden: str) -> DataFrame:

@@ -53,3 +53,22 @@ def test_row_index_and_back_join(spark, tmp_path):
     for bad in ("case-2100", "none"):
         with pytest.raises(Exception, match=f"no raw row for {bad}"):
             io.with_raw(spark.createDataFrame([(bad, None, None)], df.schema), io.row_indexed(spark, path), "case", ["text"]).select(F.max("text")).collect()
+
+
+def test_append_ledger(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    new = spark.createDataFrame([("a", "error", 1), ("a", "ok", 2), ("a", "ok", 3), ("b", "error", 4), ("c", "ok", 5)], "run_hash string, status string, n int")
+    none = new.limit(0)
+    io.append_ledger(new, none, path)
+    first = spark.read.schema(new.schema).json(path)
+    assert sorted((r.run_hash, r.status, r.n) for r in first.collect()) == [("a", "ok", 3), ("b", "error", 4), ("c", "ok", 5)]
+    io.append_ledger(new.where("run_hash <> 'c'"), first, path)
+    assert sorted((r.run_hash, r.n) for r in spark.read.schema(new.schema).json(path).collect()) == [("a", 3), ("b", 4), ("b", 4), ("c", 5)]
+
+
+def test_hashes_of_parts_do_not_meet(spark):
+    from sievemill.functions.text import canonical_hash
+
+    rows = [("a\x1fb", "c"), ("a", "b\x1fc"), ("\x00", ""), (None, ""), ("", None), ('a","b', None)]
+    out = spark.createDataFrame(rows, "a string, b string").select(canonical_hash(F.col("a"), F.col("b")).alias("h")).collect()
+    assert len({r.h for r in out}) == len(rows)
