@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sievemill.llm import chat_format, decontaminate, line_dedup, mixing, order_minhash, quality_crf, rules, secrets, suffix_dedup, xent
+from sievemill.llm import chat_format, collocations, decontaminate, filter_audit, line_dedup, mixing, order_minhash, quality_crf, rules, secrets, simhash, suffix_dedup, xent
 
 EXTRA = ["key", "h", "n", "doc", "t", "b", "count", "label", "score", "quality", "rep", "gram", "bands", "__id", "__drop", "words", "spans", "class_id", "item_id", "good", "diff"]
 LONG = " ".join(f"word{i % 977} runs\n" for i in range(20_000))
@@ -37,6 +37,7 @@ BY_DOC = {
     "rules": lambda d, l, i: rules.judge(d, l),
     "xent": lambda d, l, i: xent.scores(d, l),
     "mix": lambda d, l, i: mixing.mix_sources(d),
+    "simhash": lambda d, l, i: simhash.near_duplicates(d),
 }
 
 
@@ -64,3 +65,13 @@ def test_chat(spark):
     assert {k: r.n_turns for k, r in out.items()} == {1: 2, None: 1, 2: 1}
     assert out[2].loss_chars == len(LONG)
     assert chat_format.digest(chat_format.format_conversations(turns.limit(0))).collect() == []
+
+
+def test_reports(docs, labels):
+    """Operators that report on the whole table: every row counts once, as often as it stands there."""
+    clashing = docs.select("*", *[F.lit("x").alias(c) for c in ("lang", "part", "digest", "phrase", "times", "copies")])
+    out = filter_audit.audit(clashing, labels).where("filter_order = 'ABCDE' and step = 1").collect()
+    assert [(r.part, r.kept + r.removed) for r in out] == [("web", len(ROWS))]
+    words = sum(len((t or "").split()) for _, t in ROWS)
+    assert {(r.lang, r.n) for r in collocations.collocations(clashing).collect()} == {("x", words)}
+    assert filter_audit.audit(clashing.limit(0), labels).collect() == collocations.collocations(clashing.limit(0)).collect() == []
