@@ -137,6 +137,12 @@ def ranked(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return rows.withColumn("_part", part).join(F.broadcast(before), "_part").select(*df.columns, rank.alias(name))
 
 
+def ordered_subset(df: DataFrame, strata: list[str], key: str, order: str, count: int, seed: str) -> DataFrame:
+    """count rows of df, each combination of the strata (null: unknown) by its quota, with their place in the original order, from 1."""
+    rows = df.withColumn("__stratum", F.to_json(F.array(*[F.coalesce(F.col(s).cast("string"), F.lit("unknown")) for s in strata])))
+    return ranked(stratified(rows, "__stratum", key, count, seed).drop("__stratum"), [order, key], "place")
+
+
 def pack(df: DataFrame, group: str, key: str, size: str, budget: int) -> DataFrame:
     """group, key, bin: worst-fit decreasing within a group, at least ceil(total / budget) bins.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import repair
-from ..operators import clusters, lineage, review, store, topics, trajectory
+from ..operators import clusters, lineage, review, runs, sampling, store, topics, trajectory
 from ..sources.tables import shared_folder
 from .catalogue import query, table
 
@@ -155,3 +155,45 @@ def lineage_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = F.expr("o_orderkey div 2") - F.col("o_custkey") % 3
     edges = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), up.alias("source")).where("source > 0")
     return lineage.roots(edges)
+
+
+@query("""
+WITH p AS (SELECT *, left_said = gold AS x, right_said = gold AS y FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'support' ELSE 'reject' END AS gold, CASE WHEN o_orderkey % 2 = 0 THEN 'support' ELSE 'reject' END AS left_said,
+  CASE WHEN o_custkey % 2 = 0 THEN 'support' ELSE 'reject' END AS right_said, o_orderkey % 5 = 0 AS made, o_orderkey % 4 = 0 AS planned FROM orders WHERE o_orderstatus <> 'P')),
+c AS (SELECT *, CASE WHEN x AND y THEN 'both_correct' WHEN x THEN 'left_only' WHEN y THEN 'right_only' ELSE 'both_wrong' END AS outcome FROM p),
+d AS (SELECT *, CASE WHEN outcome IN ('left_only', 'right_only') THEN CASE WHEN made AND planned THEN 'same_final_review_context_' WHEN made THEN 'same_artifacts_' WHEN planned THEN 'same_plan_and_templates_' ELSE 'changed_trajectory_' END || CASE outcome WHEN 'left_only' THEN 'regression' ELSE 'improvement' END ELSE outcome END AS category FROM c)
+SELECT 'outcomes' AS section, outcome AS name, count(*)::DOUBLE AS value FROM d GROUP BY outcome UNION ALL SELECT 'categories', category, count(*)::DOUBLE FROM d GROUP BY category
+UNION ALL SELECT 'flips', left_said || '->' || right_said, count(*)::DOUBLE FROM d WHERE left_said <> right_said GROUP BY 2
+UNION ALL SELECT 'coverage', unnest(['left_records', 'right_records', 'left_ok', 'right_ok', 'left_only', 'right_only', 'excluded_not_ok']), unnest([count(*), count(*), count(*) FILTER (WHERE o_orderstatus <> 'P'), count(*), 0, 0, count(*) FILTER (WHERE o_orderstatus = 'P')])::DOUBLE FROM orders
+UNION ALL SELECT 'metrics', unnest(['left_accuracy', 'right_accuracy']), unnest([round(avg(x::INT), 9), round(avg(y::INT), 9)]) FROM d
+""")
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a record of two runs, whose predictions, plans and artifacts agree for some."""
+    orders = table(spark, sf_dir, "orders")
+    key, gold = F.col("o_orderkey"), F.when(F.col("o_orderkey") % 3 == 0, "support").otherwise("reject")
+
+    def run(side: str) -> DataFrame:
+        left = side == "left"
+        said = F.when((key if left else F.col("o_custkey")) % 2 == 0, "support").otherwise("reject")
+        own = lambda test, name: F.array(F.when(test, name).otherwise(F.lit(f"{name} of {side}")))
+        review = F.array(F.struct(F.lit("final_answer").alias("decision"), F.array().cast("array<string>").alias("steps")))
+        return orders.select(
+            key, F.when((F.col("o_orderstatus") == "P") & F.lit(left), "error").otherwise("ok").alias("status"), gold.alias("gold"), said.alias("prediction"), (said == gold).alias("correct"), F.concat(F.array(F.lit("s")), own(key % 4 == 0, "plan")).alias("steps"),
+            F.array(F.lit("t")).alias("templates"), own(key % 5 == 0, "made").alias("artifacts"), review.alias("reviews"), F.lit(2).alias("calls"), F.array(F.lit(0.5)).alias("similarities"),
+        )
+
+    out = runs.report(run("left"), run("right"), ["o_orderkey"])
+    kept = F.col("section").isin("outcomes", "categories", "flips", "coverage") | F.col("name").isin("left_accuracy", "right_accuracy")
+    return out.where(kept).select("section", "name", F.round("value", 9).alias("value"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, lang || '|' || source AS k, n_chars FROM documents), s AS (SELECT k, count(*) AS n, least(120, sum(count(*)) OVER ())::DOUBLE * count(*) / sum(count(*)) OVER () AS x FROM d GROUP BY k),
+q AS (SELECT k, floor(x)::BIGINT + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, k) <= least(120, sum(n) OVER ()) - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS quota FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY sha256('dev:' || doc_id), doc_id) AS rn FROM d)
+SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS place FROM r JOIN q USING (k) WHERE rn <= quota
+""")
+def ordered_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """120 documents by language and source, in the order of their length."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    return sampling.ordered_subset(docs, ["lang", "source"], "doc_id", "n_chars", 120, "dev").select("doc_id", "place")
