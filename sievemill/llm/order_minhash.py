@@ -63,6 +63,8 @@ from .textvec import LOWER, U64, buffers, chunks, doc_slices, mix, prefix, shing
 K, ELL = 5, 2
 TOP = U64(0xFFFFFFFFFFFFFFFF)
 SLOTS, BLOCK = 1 << 20, 4096
+#: Bytes of text that are taken apart together.
+PIECE = 1 << 19
 SEEDS = mix(np.arange(1, 4097).astype(U64))
 #: The label of a first occurrence.
 FIRST = mix(np.zeros(1, U64) + U64(77))
@@ -154,7 +156,7 @@ def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         for b in batches:
             data, offsets = buffers(b.column(1))
             keys, found = [], []
-            for i, j, x, o in chunks(data, offsets):
+            for i, j, x, o in chunks(data, offsets, PIECE):
                 s, e, doc, wh = words(x, o)
                 h, d, _ = shingles(wh, doc, j - i, K)
                 lab = labelled(h, d)
@@ -296,7 +298,7 @@ def word_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = buffers(b.column(0))
-            for i, j, x, o in chunks(data, offsets):
+            for i, j, x, o in chunks(data, offsets, PIECE):
                 s, e, doc, wh = words(x, o)
                 at, low = doc_slices(doc, j - i), LOWER[x]
                 own = [slice(at[n], at[n + 1]) for n in range(j - i)]

@@ -39,6 +39,8 @@ CLASSES = {
     "quotes": b"\"'()-",
 }
 N_FEATURES = len(CLASSES) + 10
+#: Bytes of text that are taken apart together.
+PIECE = 1 << 19
 
 
 def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,7 +166,7 @@ def train(texts: list[str], labels: list[int], steps: int = 150, l2: float = 1.0
     if len(set(labels)) < 2:
         return {"rate": rate}
     data, offsets = buffers(pa.array(texts, pa.string()))
-    parts = [(line_features(x, o)[:2], i) for i, _, x, o in chunks(data, offsets)]
+    parts = [(line_features(x, o)[:2], i) for i, _, x, o in chunks(data, offsets, PIECE)]
     f = np.vstack([p[0][0] for p in parts])
     doc = np.concatenate([p[0][1] + p[1] for p in parts])
     mean, std = f.mean(0), f.std(0) + 1e-3
@@ -203,7 +205,7 @@ def score_chunk(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
 def score_batch(model: dict, column: pa.Array) -> np.ndarray:
     data, offsets = buffers(column)
     out = np.zeros(len(offsets) - 1)
-    for i, j, x, o in chunks(data, offsets):
+    for i, j, x, o in chunks(data, offsets, PIECE):
         out[i:j] = score_chunk(model, x, o)
     return out
 
