@@ -310,10 +310,11 @@ def word_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links (key, centre) between nodes (key, rid, bands, orders): as classes (key, label) of those found by buckets, and the others."""
+    """Confirmed links (key, centre) between nodes (key, rid, bands, orders): as classes (key, label) of those found by buckets, and the others; nodes is deleted."""
     both = F.posexplode(F.arrays_zip("bands", "orders")).alias("n", "x")
     rows = nodes.where("bands is not null").select("key", "rid", both).select(F.xxhash64("n", "x.bands").alias("b"), F.col("x.orders").alias("o"), "key", "rid")
     shared = cut(rows.join(rows.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "b"), shuffled=True)
+    release(nodes)
     # how many others a node meets, over all its buckets: the higher, the better a centre
     rank = cut(shared.groupBy("key").agg(F.sum("c").alias("met"), F.min("rid").alias("rid")), shuffled=True)
     texts = cut(word_table(docs, rank), shuffled=True)
@@ -425,9 +426,13 @@ def rest(nodes: DataFrame, tested: DataFrame, texts: DataFrame, threshold: float
 
 def grouped(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 2) -> DataFrame:
     """doc_id, rid, key of its text, label of its class, class_id, class_size of every row of docs."""
-    base = cut(sketch(docs, bands, rows))
-    nodes = cut(base.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("orders").alias("orders")), shuffled=True)
-    label, more = links(nodes, docs, threshold)
+    sketched = cut(sketch(docs, bands, rows))
+    named = cut(sketched.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("rid").alias("rid"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("orders").alias("orders")), shuffled=True)
+    # the bands are most of these tables, and only the first step of links reads them
+    base = cut(sketched.select("doc_id", "rid", "key"))
+    release(sketched)
+    nodes = cut(named.select("key", "rep", "copies"))
+    label, more = links(named, docs, threshold)
     if not more.isEmpty():
         label = classes(label.unionAll(more))
     nodes = nodes.select("key", "rep", "copies").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
