@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import repair
-from ..operators import clusters, lineage, review, runs, sampling, store, topics, trajectory
+from ..operators import clusters, exports, lineage, review, runs, sampling, store, topics, trajectory
 from ..sources.tables import shared_folder
 from .catalogue import query, table
 
@@ -197,3 +197,20 @@ def ordered_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """120 documents by language and source, in the order of their length."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
     return sampling.ordered_subset(docs, ["lang", "source"], "doc_id", "n_chars", 120, "dev").select("doc_id", "place")
+
+
+@query("""
+WITH r AS (SELECT CASE WHEN doc_id % 9 = 4 THEN NULL ELSE doc_id - doc_id % 11 // 10 END AS id, text, CASE WHEN doc_id % 7 = 3 THEN 'x' ELSE sha256(coalesce(text, '')) END AS h FROM documents),
+p AS (SELECT doc_id AS id, sha256(coalesce(text, '') || CASE WHEN doc_id % 5 = 2 THEN '!' ELSE '' END) AS now FROM documents)
+SELECT 'prompt does not match its hash' AS problem, count(*) AS n FROM r WHERE h = 'x' UNION ALL SELECT 'prompt is made otherwise today', count(*) FROM r LEFT JOIN p USING (id) WHERE now IS NULL OR now <> h
+UNION ALL SELECT 'no id', count(*) FROM r WHERE id IS NULL UNION ALL SELECT 'id repeats', count(*) FROM (SELECT id FROM r WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'pool is a, not b', 1
+""")
+def export_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as an export with faults in its ids and hashes, checked against prompts of which some have changed since."""
+    docs = table(spark, sf_dir, "documents")
+    key, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    id_ = F.when(key % 9 != 4, key - F.expr("doc_id % 11 div 10"))
+    rows = docs.select(id_.alias("id"), "text", F.when(key % 7 == 3, "x").otherwise(F.sha2(text, 256)).alias("prompt_hash")).withColumnRenamed("text", "prompt")
+    prompts = docs.select(key.alias("id"), F.concat(text, F.when(key % 5 == 2, "!").otherwise("")).alias("prompt"))
+    manifest = exports.manifest_of(rows, pool="a")
+    return exports.export_problems(rows, manifest, {"pool": "b"}, prompts).select("problem", "n")
