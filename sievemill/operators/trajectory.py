@@ -150,3 +150,21 @@ def trajectories(cases: DataFrame, items: DataFrame, executor: Call, reviewer: C
     stuck = F.col("status") == "open"
     out = out.withColumns({"error": F.when(stuck, "ended without a final answer").otherwise(F.col("error")), "status": F.when(stuck, "error").otherwise(F.col("status"))})
     return out.select("case", "status", "answer", "error", "artifacts", "reviews", "repairs", "calls")
+
+
+def replayed_reviews(ledger: DataFrame, reviewer: Call, labels: Sequence[str], run_dir: str) -> DataFrame:
+    """case, source_answer, status, answer, error, changed: the final review of stored trajectories, made again.
+
+    ledger: case, text, answer, artifacts of a finished run. No step is executed again; cases without artifacts
+    are left out, since nothing of theirs can be reviewed. An answer that is no label is an error.
+    """
+    empty = F.array().cast(f"array<{STEP_DDL}>")
+    rows = ledger.where(F.size("artifacts") > 0)
+    state = fresh(rows.select("case", "text"), empty, 1).drop("artifacts").join(rows.select("case", "artifacts"), "case")
+    done = Run(run_dir).stage("replay", lambda: reviewed(state, reviewer, labels, 0, force=True), ledger)
+    valid = F.coalesce(F.col("answer").isin(*labels), F.lit(False))
+    bad = (F.col("status") == "ok") & ~valid
+    out = done.withColumns({"status": F.when(bad, "error").otherwise(F.col("status")), "error": F.when(bad, "the answer is no label").otherwise(F.col("error"))})
+    old = rows.select("case", F.col("answer").alias("source_answer"))
+    changed = F.when(F.col("status") == "ok", ~F.col("source_answer").eqNullSafe(F.col("answer")))
+    return out.join(old, "case").select("case", "source_answer", "status", F.when(F.col("status") == "ok", F.col("answer")).alias("answer"), "error", changed.alias("changed"))

@@ -144,6 +144,25 @@ def test_a_killed_run_repeats_no_call_of_a_complete_stage(spark, tmp_path):
     assert len(early) > 5 and all(sum(x.split()[1] == str(i) for x in lines) == simulate(i)[7] for i in early)
 
 
+def test_replayed_reviews(spark, tmp_path):
+    cases, items = tables(spark, 60)
+    first = trajectory.trajectories(cases, items, executor, reviewer, LABELS, str(tmp_path / "a"), planner)
+    ledger = first.join(cases, "case").select("case", "text", "answer", "artifacts")
+
+    def again(records):
+        assert all(r["force"] and r["remaining"] == [] and r["artifacts"] for r in records)
+        return [KeyError("gone") if r["case"] % 10 == 1 else {"decision": "continue" if r["case"] % 10 == 2 else "final_answer", "answer": ["reject", "support", "what"][r["case"] % 3], "steps": None} for r in records]
+
+    want = {}
+    for i, _, answer, _, artifacts, *_ in map(simulate, range(60)):
+        if artifacts:
+            new = ["reject", "support", "what"][i % 3]
+            error = "'gone'" if i % 10 == 1 else "ended without a final answer" if i % 10 == 2 else "the answer is no label" if new == "what" else None
+            want[i] = (answer, "error" if error else "ok", None if error else new, error, None if error else answer != new)
+    got = {r.case: tuple(r)[1:] for r in trajectory.replayed_reviews(ledger, again, LABELS, str(tmp_path / "b")).collect()}
+    assert got == want
+
+
 def test_store_encodes_once(spark, tmp_path):
     seen = str(tmp_path / "seen")
 
