@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut, spread
+
 SPACE, CLOSERS, QUOTES = " \t\r\n", ",}]:", "\"'“”"
 WORDS = {"true": True, "false": False, "null": None, "True": True, "False": False, "None": None}
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
@@ -230,7 +232,9 @@ def key_table(df: DataFrame, keys: str, allowed: Sequence[str], prefixes: Sequen
 
 def entries_of(payload: Column) -> Column:
     """The members of a JSON object's text as an array of (key, value: JSON text), in order; a string's value keeps its quotes."""
-    return F.transform(F.json_object_keys(payload), lambda k: F.struct(k.alias("key"), F.to_json(F.try_variant_get(F.try_parse_json(payload), F.lit("$"), "map<string,variant>")[k]).alias("value")))
+    members = F.try_variant_get(F.try_parse_json(payload), F.lit("$"), "map<string,variant>")
+    # the text is parsed once, not once for each key
+    return F.element_at(F.transform(F.array(members), lambda m: F.transform(F.json_object_keys(payload), lambda k: F.struct(k.alias("key"), F.to_json(m[k]).alias("value")))), 1)
 
 
 def repaired_keys(df: DataFrame, id: str, payload: str, allowed: Sequence[str], prefixes: Sequence[tuple[str, str, str]] = (), cutoff: float = 0.86) -> DataFrame:
@@ -238,8 +242,9 @@ def repaired_keys(df: DataFrame, id: str, payload: str, allowed: Sequence[str],
 
     A key is repaired unless its target is there already: as a key of its own or from a key before it;
     of keys with one target the first counts. A repaired member goes to the end. id tells rows apart.
+    The parsed rows are written once, since each of the ways they are read would parse them again.
     """
-    rows = df.withColumn("_entries", F.coalesce(entries_of(F.col(payload)), F.array().cast("array<struct<key:string,value:string>>")))
+    rows = cut(df.withColumn("_entries", F.coalesce(entries_of(F.col(payload)), F.array().cast("array<struct<key:string,value:string>>"))))
     keys = F.transform("_entries", lambda e: e["key"])
     table = key_table(rows.select(keys.alias("_keys")), "_keys", allowed, prefixes, cutoff)
     wanted = rows.select(id, F.posexplode(keys).alias("at", "key")).join(table, "key")
@@ -304,7 +309,7 @@ NO_RATIONALE = "No rationale supplied."
 def normalised_answers(df: DataFrame, id: str, payload: str) -> DataFrame:
     """df with entries and actions of its direct answers: schema words dropped where an answer is there, keys repaired,
     the obsolete member task_answer dropped, a missing rationale filled, and what is left folded into the rationale."""
-    rows = df.withColumn("_object", F.when(F.btrim(F.col(payload), F.lit(SPACE)).startswith("{"), F.col(payload)))
+    rows = spread(df, id).withColumn("_object", F.when(F.btrim(F.col(payload), F.lit(SPACE)).startswith("{"), F.col(payload)))
     has_answer = lambda e: e["key"].isin(list(ANSWER))
     first = rows.withColumn("entries", entries_of(F.col("_object"))).withColumn("actions", F.array().cast("array<string>"))
     answered = F.exists("entries", has_answer)

@@ -40,8 +40,8 @@ def answer_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = body.when(kind == 2, F.concat_ws(", ", member("final_decision", status), member("clerk", F.col("o_custkey").cast("string")))).when(kind == 3, F.concat_ws(", ", member("task_answer", F.lit("x")), member("final_decision", status), member("final_rationale", text)))
     body = body.otherwise(F.concat_ws(", ", member("title", F.lit("t")), member("final_decision", status), member("note", F.lit(""))))
     out = repair.normalised_answers(table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("{"), body, F.lit("}")).alias("payload")), "o_orderkey", "payload")
-    get = lambda name: F.get_json_object(repair.written(F.col("entries")), f"$.{name}")
-    return out.select("o_orderkey", get("final_decision").alias("decision"), get("final_rationale").alias("rationale"), F.array_join("actions", "|").alias("actions"))
+    get = lambda name: F.get_json_object("text", f"$.{name}")
+    return out.withColumn("text", repair.written(F.col("entries"))).select("o_orderkey", get("final_decision").alias("decision"), get("final_rationale").alias("rationale"), F.array_join("actions", "|").alias("actions"))
 
 
 #: Least, wanted and highest number of members of a batch, as shares of a label's rows times 1,000.

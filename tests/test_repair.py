@@ -5,8 +5,10 @@ import random
 from difflib import get_close_matches
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievemill.functions import repair as r
+from sievemill.sources.tables import spread
 
 BROKEN = [
     ('{"answer":"ok" "reason":"missing comma"}', {"answer": "ok", "reason": "missing comma"}, False),
@@ -166,3 +168,19 @@ def test_random_keys(spark, seed):
         p = dict(payloads[x.id])
         assert x.actions == plain_keys(p, allowed)
         assert {e.key: json.loads(e.value) for e in x.entries} == p and [e.key for e in x.entries] == list(p)
+
+
+def test_answers_are_read_once_and_by_all_cores(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def answer(i):
+        seen.add(1)
+        return json.dumps({"final_decison": f"d{i}", "final_rationale": "r", "note": i})
+
+    rows = spark.range(0, 40, numPartitions=1).withColumn("payload", answer("id"))
+    out = r.normalised_answers(rows, "id", "payload")
+    assert {(x["id"], x["actions"][0]) for x in out.collect()} == {(i, "schema_key_typo: final_decison -> final_decision") for i in range(40)}
+    assert seen.value == 40
+    # one small file is read in one task; what is then done to its rows is not
+    assert spread(rows, "id").rdd.getNumPartitions() >= 4
