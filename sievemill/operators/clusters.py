@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..sources.tables import cut, release
 from .similarity import batch_clusters
 
@@ -149,7 +150,8 @@ def family_kmeans(df: DataFrame, family: str, key: str, vector: str, counts: Dat
 
 def unit(rows: DataFrame) -> DataFrame:
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda t, x: t + x * x))
-    return rows.withColumn("vector", F.transform("vector", lambda x: x / F.when(norm == 0, 1.0).otherwise(norm)))
+    # the norm is formed once a row, not once for each entry
+    return rows.withColumn("vector", let(F.when(norm == 0, 1.0).otherwise(norm), lambda n: F.transform("vector", lambda x: x / n)))
 
 
 def assigned(spark: SparkSession, rows: DataFrame, centres: DataFrame, kind: str) -> DataFrame:

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut, release
+from ..functions.text import let
+from ..sources.tables import cut, release, spread
 from .clusters import family_kmeans
 
 #: Rows whose products are formed together.
@@ -56,8 +57,9 @@ def term_matrix(counts: DataFrame, words: DataFrame) -> DataFrame:
     """id, row: array of (j, w), (1 + log tf) * idf of unit length; ids without a term of the vocabulary are left out."""
     rows = counts.join(F.broadcast(words), "term").select("id", "j", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     rows = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("j", "w"))).alias("row"))
-    norm = F.sqrt(F.aggregate("row", F.lit(0.0), lambda t, x: t + x["w"] * x["w"]))
-    return rows.select("id", F.transform("row", lambda x: F.struct(x["j"].alias("j"), (x["w"] / norm).alias("w"))).alias("row"))
+    # the norm is formed once a row, not once for each of its terms
+    scaled = lambda norm: F.transform("row", lambda x: F.struct(x["j"].alias("j"), (x["w"] / norm).alias("w")))
+    return rows.select("id", let(F.sqrt(F.aggregate("row", F.lit(0.0), lambda t, x: t + x["w"] * x["w"])), scaled).alias("row"))
 
 
 def sparse(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -84,15 +86,19 @@ def summed(matrix: DataFrame, part, width: int) -> np.ndarray:
     """The sum over all tasks of part(chunk) -> (places, vectors), a dense matrix of the given height; added up in tasks, a place each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total, seen = np.zeros((0, 0)), np.zeros(width, bool)
         for b in batches:
             for i, end, row, j, w in sparse(b.column(0)):
-                for p, v in zip(*part(end - i, row, j, w)):
-                    total[int(p)] = total[int(p)] + v if int(p) in total else v
-        places = list(total)
+                # a chunk names a place at most once
+                places, vectors = part(end - i, row, j, w)
+                if not total.size:
+                    total = np.zeros((width, vectors.shape[1]))
+                total[places] += vectors
+                seen[places] = True
+        places = np.flatnonzero(seen)
         for k in range(0, len(places), 1024):
             some = places[k : k + 1024]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([total[p].tolist() for p in some], pa.list_(pa.float64()))], ["at", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some].tolist(), pa.list_(pa.float64()))], ["at", "v"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -205,9 +211,10 @@ def representatives(members: DataFrame, group: str, key: str, vector: str, k: in
 
 def topic_families(docs: DataFrame, key: str, text: str, families: int, min_df: int = 5, max_df: float = 0.98, max_features: int = 20_000, components: int = 100, stop_words: Sequence[str] = (), seed: int = 7, top_terms: int = 12, examples: int = 5) -> tuple[DataFrame, DataFrame]:
     """id, family of every text with a term of the vocabulary; and family, n, top_terms, representatives of the families."""
-    rows = docs.select(F.col(key).alias("id"), terms(F.col(text), stop_words).alias("terms")).where("id is not null")
-    counts = cut(rows.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")), shuffled=True)
-    n = rows.select("id").distinct().count()
+    rows = spread(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id is not null"), "id").select("id", terms(F.col("text"), stop_words).alias("terms"))
+    # outer: the filter that Spark infers from a plain explode would take the texts apart before they are dealt
+    counts = cut(rows.select("id", F.explode_outer("terms").alias("term")).where("term is not null").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")), shuffled=True)
+    n = docs.select(key).where(F.col(key).isNotNull()).distinct().count()
     words = cut(vocabulary(counts, n, min_df, max_df, max_features), shuffled=True)
     width = words.count()
     k = min(components, n - 1, width - 1)

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import unicodedata
 from collections import Counter
 
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sievemill.operators import clusters
 from sievemill.operators import topics as t
 
 STOPS = ["the", "of", "and"]
@@ -102,3 +104,15 @@ def test_representatives(spark):
         want += [(g, k + 1, i, -s) for k, (s, i) in enumerate(sorted(score)[:4])]
     assert sorted(x[:3] for x in got) == sorted(x[:3] for x in want)
     assert np.allclose([x[3] for x in sorted(got)], [x[3] for x in sorted(want)], atol=2e-6)
+
+
+def test_norms_of_long_rows_are_formed_once(spark):
+    counts = spark.range(30_000).select(F.lit(1).alias("id"), F.col("id").cast("string").alias("term"), F.lit(1).alias("tf"))
+    words = counts.select("term", F.col("term").cast("long").alias("j"), F.lit(1.0).alias("idf"))
+    start = time.time()
+    row = t.term_matrix(counts, words).first()["row"]
+    assert abs(sum(x["w"] ** 2 for x in row) - 1) < 1e-9
+    vector = clusters.unit(spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda x: x.cast("double")).alias("vector"))).first()["vector"]
+    assert abs(sum(x * x for x in vector) - 1) < 1e-9
+    # a sum of squares for each of the 30,000 entries would take minutes
+    assert time.time() - start < 30
