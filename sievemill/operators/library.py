@@ -49,8 +49,9 @@ def candidate_problems(candidates: DataFrame, known: DataFrame, least_support: i
     """candidate, problem: unknown, too few or miscounted supporting ids.
 
     candidates: candidate, support (array), support_count; known: id. The ids are joined, so they may be any number.
+    The candidates are written once, since each of the three problems would collect them again.
     """
-    distinct = candidates.withColumn("support", F.array_distinct("support"))
+    distinct = cut(candidates.withColumn("support", F.array_distinct("support")))
     each = distinct.select("candidate", F.explode("support").alias("id")).join(known.select("id").distinct(), "id", "left_anti").select("candidate", F.lit("unknown support").alias("problem")).distinct()
     few = distinct.where(F.size("support") < least_support).select("candidate", F.lit("too few").alias("problem"))
     wrong = distinct.where(F.size("support") != F.col("support_count")).select("candidate", F.lit("count differs").alias("problem"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon
 from ..functions import profile as P
 from ..operators import library, review, sampling
+from ..sources.tables import spread
 from .catalogue import PREDICTIONS_SQL, predictions, query, table
 
 
@@ -218,7 +219,8 @@ UNION ALL SELECT l_orderkey, 'too few' FROM lineitem GROUP BY l_orderkey HAVING
 UNION ALL SELECT l_orderkey, 'count differs' FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) <> count(*)
 """.replace("USING (l_suppkey)", "ON s_suppkey = l_suppkey"))
 def candidate_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("candidate")).agg(F.collect_list("l_suppkey").alias("support"), F.count(F.lit(1)).alias("support_count"))
+    lines = spread(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("candidate"), "l_suppkey"), "candidate")
+    rows = lines.groupBy("candidate").agg(F.collect_list("l_suppkey").alias("support"), F.count(F.lit(1)).alias("support_count"))
     return library.candidate_problems(rows, table(spark, sf_dir, "supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("id")), 3)
 
 
