@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import ledger, models, preference, sampling, scoring, similarity
+from ..sources.tables import spread
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -380,6 +381,7 @@ SELECT a.anchor, a.candidate AS chosen, b.candidate AS rejected, a.reward - b.re
 """)
 def best_worst_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("anchor"), F.col("l_linenumber").alias("candidate"), "l_discount", "l_suppkey", "l_returnflag")
+    lines = spread(lines, "anchor", "candidate")
     each = lines.groupBy("anchor", "candidate").agg(F.max("l_discount").alias("similarity"), F.min("l_suppkey").alias("steps"))
     candidates = each.select("anchor", "candidate", F.concat_ws("/", "anchor", "candidate").alias("text"), "similarity", "steps", F.col("candidate").alias("sample"))
     evaluations = lines.select("anchor", "candidate", F.lit("returned").alias("target"), (F.col("l_returnflag") == "R").alias("correct"))
