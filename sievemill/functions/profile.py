@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon
-from .text import compact, containment, fact_count, let, safe, split_items, token_ngrams
+from .text import compact, fact_count, gram_containment, let, safe, split_items
 
 
 def matches(c: Column, pattern: str) -> Column:
@@ -41,7 +41,7 @@ def pattern_flags(c: Column, families: Mapping[str, Sequence[str]]) -> list[Colu
 
 def leakage_reasons(facts: Column, decision: Column, size: int = 6, threshold: float = 0.12) -> Column:
     """Names of outcome patterns in the facts, and judgment_text_overlap where they hold a share of the decision's n-grams."""
-    overlap = F.coalesce(containment(token_ngrams(decision, size), token_ngrams(facts, size)) >= threshold, F.lit(False))
+    overlap = F.coalesce(gram_containment(decision, facts, size) >= threshold, F.lit(False))
     return F.concat(matching(facts, lexicon.OUTCOME_PATTERNS), F.when(overlap, F.array(F.lit("judgment_text_overlap"))).otherwise(F.array().cast("array<string>")))
 
 

@@ -83,7 +83,7 @@ def leakage_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("decision"))
     n = items.count()
     items = sampling.ranked(items, ["item_id"], "place").select("decision", (F.col("place") - 1).alias("place"))
-    docs = table(spark, sf_dir, "documents").withColumn("place", F.col("doc_id") % n).join(items, "place")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumn("place", F.col("doc_id") % n).join(items, "place")
     facts = F.concat(planted(OUTCOME_SENTENCES), F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit(" "), F.col("decision"))).otherwise(""))
     return docs.select("doc_id", F.array_join(P.leakage_reasons(facts, F.col("decision")), "|").alias("reasons"))
 
