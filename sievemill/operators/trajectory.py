@@ -4,20 +4,26 @@ The calls are injected batch functions from records to replies; a reply that is
 failure of its case, a row and not the end of the job. All cases move together, a step a turn, so the
 number of Spark jobs depends on the number of steps, not on the number of cases. Every batch of calls is a stage, which is
 written under run_dir: a run that was killed goes on with the first stage that is not complete, and
-no call of a complete stage is made again.
+no call of a complete stage is made again. Cases are dealt over all cores once, before the first stage;
+calls hand their rows on, so that no later stage shuffles them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.io import exists
+from ..sources.tables import cut, release, spread
 from . import similarity
 
+#: Distinct requests for an item that are broadcast; of more of them, only those of over OFTEN cases are, and the rest are joined.
+REQUESTS, OFTEN = 1 << 16, 4096
+
 STEP, STEP_DDL = pa.struct([("name", pa.string()), ("tags", pa.list_(pa.string()))]), "struct<name:string,tags:array<string>>"
 REVIEW = pa.struct([("decision", pa.string()), ("answer", pa.string()), ("steps", pa.list_(STEP))])
 REVIEW_DDL = f"struct<decision:string,answer:string,steps:array<{STEP_DDL}>>"
@@ -28,16 +34,35 @@ Call = Callable[[list[dict]], list]
 Scores = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def ask(rows: DataFrame, key: str, call: Call, kind: pa.DataType, ddl: str) -> DataFrame:
-    """key, reply, failure of a call for each row."""
+def plain(column: pa.Array) -> list:
+    """The column's to_pylist(), taken a column of leaves at a time: nested records are several times cheaper so."""
+    kind = column.type
+    if pa.types.is_struct(kind):
+        names = [f.name for f in kind]
+        out = [dict(zip(names, r)) for r in zip(*map(plain, column.flatten()))]
+    elif pa.types.is_list(kind):
+        flat = plain(column.flatten())
+        ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+        out = [flat[i:j] for i, j in zip([0, *ends], ends)]
+    elif pa.types.is_string(kind) or (not column.null_count and (pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind))):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    else:
+        return column.to_pylist()
+    return [x if ok else None for x, ok in zip(out, column.is_valid().to_pylist())] if column.null_count else out
+
+
+def ask(rows: DataFrame, record: Sequence[Column | str], call: Call, kind: pa.DataType, ddl: str) -> DataFrame:
+    """rows with the reply and the failure of a call for each, which is shown the columns of record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = call(b.to_pylist())
+            out = call(plain(b.column(b.num_columns - 1)))
             failed = [isinstance(x, Exception) for x in out]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(key)), pa.array([None if f else x for x, f in zip(out, failed)], kind), pa.array([str(x) or type(x).__name__ if f else None for x, f in zip(out, failed)], pa.string())], [key, "reply", "failure"])
+            replies = [pa.array([None if f else x for x, f in zip(out, failed)], kind), pa.array([str(x) or type(x).__name__ if f else None for x, f in zip(out, failed)], pa.string())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *replies], [*b.schema.names[:-1], "reply", "failure"])
 
-    return rows.mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, reply {ddl}, failure string")
+    names = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    return rows.withColumn("_record", F.struct(*record)).mapInArrow(run, f"{names}, reply {ddl}, failure string")
 
 
 def shared_tags(steps: DataFrame, items: DataFrame) -> DataFrame:
@@ -69,8 +94,7 @@ def failed(state: DataFrame) -> DataFrame:
 
 def planned(cases: DataFrame, planner: Call, max_steps: int) -> DataFrame:
     """The state of cases (case, text) after the planning call: at most max_steps steps remain."""
-    replies = ask(cases.select("case", "text"), "case", planner, pa.list_(STEP), f"array<{STEP_DDL}>")
-    state = cases.select("case", "text").join(replies, "case")
+    state = ask(spread(cases.select("case", "text"), "case"), ["case", "text"], planner, pa.list_(STEP), f"array<{STEP_DDL}>")
     return failed(fresh(state, F.coalesce("reply", F.array().cast(f"array<{STEP_DDL}>")), max_steps).withColumn("calls", F.lit(1))).drop("reply", "failure")
 
 
@@ -82,15 +106,33 @@ def fresh(rows: DataFrame, steps: Column, max_steps: int) -> DataFrame:
     })
 
 
+def retrieved(state: DataFrame, items: DataFrame, scores: Scores) -> DataFrame:
+    """state with item, mode and score for the first remaining step of every case: an item that the case has not used.
+
+    Cases that ask for one name and tags and have used the same items are given the same, so each
+    such request is answered once. A request of many cases is never a key of a shuffle.
+    """
+    head = F.get("remaining", 0)
+    want = F.struct(head["name"].alias("name"), head["tags"].alias("tags"), F.array_sort(F.array_distinct("artifacts.item")).alias("used"))
+    rows = state.withColumn("want", want)
+    requests = cut(rows.groupBy("want").agg(F.count(F.lit(1)).alias("n")).withColumn("step", F.monotonically_increasing_id()), shuffled=True)
+    steps = requests.select("step", "want.name", "want.tags")
+    used = requests.select("step", F.explode("want.used").alias("item"))
+    found = cut(requests.join(similarity.cascade(steps, items, scores(steps, items), used), "step").select("want", "n", "item", "mode", "score"), shuffled=True)
+    bar = 0 if found.count() <= REQUESTS else OFTEN
+    release(requests)
+    often = F.broadcast(found.where(F.col("n") > bar).drop("n"))
+    out = rows.join(often, "want")
+    if bar:
+        out = out.unionByName(rows.join(often.select("want"), "want", "left_anti").join(found.where(F.col("n") <= bar).drop("n"), "want"))
+    return out.drop("want")
+
+
 def executed(state: DataFrame, items: DataFrame, executor: Call, scores: Scores) -> DataFrame:
-    """The state after the first remaining step of every case: an item is retrieved that the case has not used, and the call made."""
+    """The state after the first remaining step of every case: an item is retrieved, and the call made."""
     head = F.get("remaining", 0)
-    steps = state.select(F.col("case").alias("step"), head["name"].alias("name"), head["tags"].alias("tags"))
-    used = state.select(F.col("case").alias("step"), F.explode("artifacts.item").alias("item"))
-    found = similarity.cascade(steps, items, scores(steps, items), used).withColumnRenamed("step", "case")
-    rows = state.join(found, "case")
-    replies = ask(rows.select("case", "text", head.alias("step"), "item", "artifacts"), "case", executor, pa.string(), "string")
-    done = rows.join(replies, "case")
+    rows = retrieved(state, items, scores)
+    done = ask(rows, ["case", "text", head.alias("step"), "item", "artifacts"], executor, pa.string(), "string")
     artifact = F.struct(head["name"].alias("name"), F.col("item").cast("string").alias("item"), "mode", "score", F.col("reply").alias("result"))
     ok = F.col("failure").isNull()
     moved = done.withColumns({"artifacts": F.when(ok, F.array_append("artifacts", artifact)).otherwise(F.col("artifacts")), "remaining": F.slice("remaining", F.lit(2), F.greatest(F.size("remaining") - 1, F.lit(0))), "calls": F.col("calls") + 1})
@@ -104,8 +146,7 @@ def reviewed(state: DataFrame, reviewer: Call, labels: Sequence[str], max_steps:
     """
     must = F.lit(force) | (F.size("remaining") == 0) | (F.size("artifacts") >= max_steps)
     steps = F.when(F.lit(force), F.array().cast(f"array<{STEP_DDL}>")).otherwise(F.col("remaining"))
-    replies = ask(state.select("case", "text", "artifacts", steps.alias("remaining"), must.alias("force")), "case", reviewer, REVIEW, REVIEW_DDL)
-    done = state.join(replies, "case")
+    done = ask(state, ["case", "text", "artifacts", steps.alias("remaining"), must.alias("force")], reviewer, REVIEW, REVIEW_DDL)
     what, ok = F.coalesce(F.col("reply.decision"), F.lit("")), F.col("failure").isNull()
     final, revise = ok & (what == "final_answer"), ok & (what == "revise") & ~F.lit(force)
     good = final & (F.lit(force) | F.coalesce(F.col("reply.answer").isin(*labels), F.lit(False)))
@@ -126,7 +167,7 @@ def trajectories(cases: DataFrame, items: DataFrame, executor: Call, reviewer: C
     steps that remain; without, all planned steps are executed and one forced review ends the case.
     """
     run = Run(run_dir)
-    start = (lambda: planned(cases, planner, max_steps)) if planner else (lambda: fresh(cases.select("case", "text", "steps"), F.col("steps"), max_steps).drop("steps"))
+    start = (lambda: planned(cases, planner, max_steps)) if planner else (lambda: fresh(spread(cases.select("case", "text", "steps"), "case"), F.col("steps"), max_steps).drop("steps"))
     state = run.stage("plan", start, cases)
     finished = []
     for _ in range(max_steps):
