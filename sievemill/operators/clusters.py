@@ -2,8 +2,9 @@
 
 ``family_batches`` chains the two: a family that fits one batch stays whole, a larger one is cut
 into ``similarity.batch_clusters`` clusters, and members move at the least loss of similarity until
-every batch is within its bounds. No family is a task: centres are read in blocks of a checked size,
-sums are made in the tasks first, and moves are ranked in parts.
+every batch is within its bounds. No family is a task: rows are dealt over all cores once, centres are
+held in blocks of a checked size, sums are made in the tasks first (an iteration is one job), and moves
+are ranked in parts.
 """
 
 from __future__ import annotations
@@ -12,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from ..sources.tables import cut, release
+from ..sources.tables import cut, release, spread
 from .similarity import batch_clusters
 
 #: Bytes of centres that a task holds; more of them are read in several passes.
@@ -63,22 +64,27 @@ def blocks_of(counts: DataFrame, width: int, limit: int = CENTRE_BYTES) -> list[
 
 def centre_map(centres: DataFrame) -> dict:
     """family -> matrix of centres in the order of clusters; the caller bounds their size."""
-    rows = centres.orderBy("family", "cluster").toArrow()
+    rows = centres.select("family", "cluster", "vector").toArrow()
     out: dict = {}
-    for f, v in zip(rows["family"].to_pylist(), rows["vector"].to_pylist()):
-        out.setdefault(f, []).append(v)
-    return {f: np.array(v, float) for f, v in out.items()}
+    for f, c, v in zip(rows["family"].to_pylist(), rows["cluster"].to_pylist(), rows["vector"].to_pylist()):
+        out.setdefault(f, []).append((c, v))
+    return {f: np.array([v for _, v in sorted(x)], float) for f, x in out.items()}
+
+
+def centre_table(spark: SparkSession, centres: dict, kind: str) -> DataFrame:
+    """family, cluster, vector of a centre_map."""
+    rows = [(f, j, v) for f, c in centres.items() for j, v in enumerate(c.tolist())]
+    return cut(spark.createDataFrame(rows, f"family {kind}, cluster long, vector array<double>"))
 
 
 def by_family(batch: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray, np.ndarray]]:
     """family, places, vectors of a batch with the columns id, family and vector."""
-    families = batch.column(1).to_pylist()
+    coded = batch.column(1).dictionary_encode()
     x = vectors_of(batch.column(2))
-    places: dict = {}
-    for i, f in enumerate(families):
-        places.setdefault(f, []).append(i)
-    for f, at in places.items():
-        yield f, np.array(at), x[at]
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(at, kind="stable")
+    for f, places in zip(coded.dictionary.to_pylist(), np.split(order, np.cumsum(np.bincount(at, minlength=len(coded.dictionary)))[:-1])):
+        yield f, places, x[places]
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -86,9 +92,16 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.argmin(np.round((c * c).sum(1)[None, :] - 2 * x @ c.T, 12), axis=1)
 
 
-def lloyd_step(spark: SparkSession, rows: DataFrame, centres: DataFrame, kind: str) -> DataFrame:
-    """family, cluster, vector: the means of the members nearest to each centre; a centre without members stays."""
-    shared = spark.sparkContext.broadcast(centre_map(centres))
+def lloyd_step(spark: SparkSession, rows: DataFrame, centres: dict, kind: str) -> dict:
+    """The means of the members nearest to each centre; a centre without members stays. Families without centres are passed over.
+
+    Sums are added up in the tasks, then a cluster in one place; what reaches the driver is as large as the centres.
+    """
+    shared = spark.sparkContext.broadcast(centres)
+    ddl = f"family {kind}, cluster long, sums array<double>"
+
+    def out(named: pa.DataType, keys: list, sums: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([f for f, _ in keys], named), pa.array([c for _, c in keys], pa.int64()), pa.array(sums, pa.list_(pa.float64()))], ["family", "cluster", "sums"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
@@ -96,20 +109,34 @@ def lloyd_step(spark: SparkSession, rows: DataFrame, centres: DataFrame, kind: s
         for b in batches:
             named = b.column(1).type
             for f, _, x in by_family(b):
-                c = shared.value[f]
+                c = shared.value.get(f)
+                if c is None:
+                    continue
                 s = sums.setdefault(f, np.zeros((len(c), c.shape[1] + 1)))
                 at = nearest(x, c)
-                np.add.at(s, at, np.hstack([x, np.ones((len(x), 1))]))
+                order = np.argsort(at, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(at[order]) != 0))
+                s[at[order][first]] += np.add.reduceat(np.hstack([x, np.ones((len(x), 1))])[order], first, axis=0)
         for f, s in sums.items():
             some = np.flatnonzero(s[:, -1])
-            yield pa.RecordBatch.from_arrays([pa.array([f] * len(some), named), pa.array(some), pa.array(s[some].tolist(), pa.list_(pa.float64()))], ["family", "cluster", "sums"])
+            yield out(named, [(f, c) for c in some.tolist()], s[some].tolist())
 
-    sums = rows.mapInArrow(run, f"family {kind}, cluster long, sums array<double>")
-    total = sums.select("family", "cluster", F.posexplode("sums").alias("d", "x")).groupBy("family", "cluster", "d").agg(F.sum("x").alias("x"))
-    total = total.groupBy("family", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("s"))
-    mean = F.transform(F.slice("s", F.lit(1), F.size("s") - 1), lambda v: v / F.element_at("s", -1))
-    moved = centres.select("family", F.col("cluster").cast("long").alias("cluster"), F.col("vector").alias("old")).join(total, ["family", "cluster"], "left")
-    return moved.select("family", "cluster", F.coalesce(mean, "old").alias("vector"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        named = None
+        for b in batches:
+            named = b.column(0).type
+            for f, c, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), vectors_of(b.column(2))):
+                total[f, c] = total[f, c] + v if (f, c) in total else v
+        if total:
+            yield out(named, list(total), [v.tolist() for v in total.values()])
+
+    found = rows.mapInArrow(run, ddl).repartition("family", "cluster").mapInArrow(merge, ddl).toArrow()
+    shared.destroy()
+    moved = {f: c.copy() for f, c in centres.items()}
+    for f, c, v in zip(found["family"].to_pylist(), found["cluster"].to_pylist(), vectors_of(found["sums"].combine_chunks())):
+        moved[f][c] = v[:-1] / v[-1]
+    return moved
 
 
 def family_kmeans(df: DataFrame, family: str, key: str, vector: str, counts: DataFrame, seed: str = "kmeans", iterations: int = 25, starts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -120,7 +147,7 @@ def family_kmeans(df: DataFrame, family: str, key: str, vector: str, counts: Dat
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("id"), F.col(family).alias("family"), F.col(vector).cast("array<double>").alias("vector")).where("vector is not null and family is not null")
-    rows = cut(unit(rows))
+    rows = cut(unit(spread(rows, "id")))
     kind = rows.schema["family"].dataType.simpleString()
     start = starts if starts is not None else start_centres(rows, counts, seed)
     centres = cut(start.select("family", F.col("cluster").cast("long").alias("cluster"), F.col("vector").cast("array<double>").alias("vector")), shuffled=True)
@@ -129,18 +156,13 @@ def family_kmeans(df: DataFrame, family: str, key: str, vector: str, counts: Dat
         raise ValueError("no family has members")
     done = []
     for names in blocks_of(counts, head["d"]):
-        wanted = spark.createDataFrame([(f,) for f in names], f"family {kind}")
-        own = rows.join(F.broadcast(wanted), "family").select("id", "family", "vector")
-        now = cut(centres.join(F.broadcast(wanted), "family"), shuffled=True)
+        # a block of centres is held here and in the tasks, within CENTRE_BYTES
+        now = centre_map(centres.join(F.broadcast(spark.createDataFrame([(f,) for f in names], f"family {kind}")), "family"))
         for _ in range(iterations):
-            new = cut(lloyd_step(spark, own, now, kind), shuffled=True)
-            far = F.exists(F.zip_with("vector", "old", lambda a, b: F.abs(a - b) > 1e-9), lambda x: x)
-            still = new.join(now.select("family", "cluster", F.col("vector").alias("old")), ["family", "cluster"]).where(far).isEmpty()
-            release(now)
-            now = new
-            if still:
+            old, now = now, lloyd_step(spark, rows, now, kind)
+            if all(np.abs(now[f] - old[f]).max(initial=0) <= 1e-9 for f in now):
                 break
-        done.append((cut(assigned(spark, own, now, kind)), now))
+        done.append((cut(assigned(spark, rows, now, kind)), centre_table(spark, now, kind)))
     release(rows, centres)
     members, final = done[0]
     for m, c in done[1:]:
@@ -154,14 +176,16 @@ def unit(rows: DataFrame) -> DataFrame:
     return rows.withColumn("vector", let(F.when(norm == 0, 1.0).otherwise(norm), lambda n: F.transform("vector", lambda x: x / n)))
 
 
-def assigned(spark: SparkSession, rows: DataFrame, centres: DataFrame, kind: str) -> DataFrame:
-    """family, id, cluster, sims."""
-    shared = spark.sparkContext.broadcast(centre_map(centres))
+def assigned(spark: SparkSession, rows: DataFrame, centres: dict, kind: str) -> DataFrame:
+    """family, id, cluster, sims of the rows whose family has centres."""
+    shared = spark.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for f, at, x in by_family(b):
-                c = shared.value[f]
+                c = shared.value.get(f)
+                if c is None:
+                    continue
                 # rounded, so that ties are ties whatever the order of the sums
                 sims = np.round(x @ normalised(c).T, 9)
                 yield pa.RecordBatch.from_arrays([pa.array([f] * len(at), b.column(1).type), b.column(0).take(pa.array(at)), pa.array(nearest(x, c)), pa.array(sims.tolist(), pa.list_(pa.float64()))], ["family", "id", "cluster", "sims"])
@@ -217,15 +241,22 @@ def cluster_sizes(now: DataFrame) -> DataFrame:
     return names.join(counted, ["family", "cluster"], "left").select("family", "cluster", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def checked(sizes: DataFrame, wants: Column, can: Column) -> Row:
+    """some: a cluster is outside its bounds; stuck: one in whose family none can help; biggest: the size of the largest."""
+    families = sizes.groupBy("family").agg(F.bool_or(wants).alias("wants"), F.bool_or(can).alias("can"), F.max("n").alias("n"))
+    return families.agg(F.bool_or("wants").alias("some"), F.bool_or(F.col("wants") & ~F.col("can")).alias("stuck"), F.max("n").alias("biggest")).first()
+
+
 def shrink(now: DataFrame, least: int, most: int) -> DataFrame | None:
     """family, id, to: the moves out of clusters with over most members, up to the first that fills a cluster; None: there are none."""
     sizes = cut(cluster_sizes(now), shuffled=True)
     over = sizes.where(F.col("n") > most)
-    if over.isEmpty():
+    state = checked(sizes, F.col("n") > most, F.col("n") < most)
+    if not state["some"]:
         release(sizes)
         return None
     room = sizes.groupBy("family").agg(F.array_sort(F.collect_list(F.when(F.col("n") < most, F.col("cluster")))).alias("open"))
-    if not over.select("family").distinct().join(room.where(F.size("open") > 0), "family", "left_anti").isEmpty():
+    if state["stuck"]:
         raise ValueError(f"clusters of over {most} members, and none with room")
     rows = now.join(over, ["family", "cluster"]).join(room, "family")
     loss = lambda d: F.round(F.get("sims", F.col("cluster").cast("int")) - F.get("sims", d.cast("int")), 9)
@@ -235,8 +266,7 @@ def shrink(now: DataFrame, least: int, most: int) -> DataFrame | None:
     # the cluster that gives is the largest, the first of equals
     turn = F.struct((-F.col("size")).alias("a"), F.col("cluster").alias("b"))
     room_of = sizes.select("family", F.col("cluster").alias("to"), (F.lit(most) - F.col("n")).alias("room"))
-    biggest = moves.agg(F.max("size")).first()[0]
-    arrivals = ranked_in_parts(moves.join(room_of, ["family", "to"]), ["family", "to"], -F.floor(F.col("size") / max(1.0, biggest / PARTS)), [turn], "at")
+    arrivals = ranked_in_parts(moves.join(room_of, ["family", "to"]), ["family", "to"], -F.floor(F.col("size") / max(1.0, state["biggest"] / PARTS)), [turn], "at")
     last = arrivals.where("at = room").groupBy("family").agg(F.min(turn).alias("last"))
     return moves.join(last, "family", "left").where(F.col("last").isNull() | (turn <= F.col("last"))).select("family", "id", "to")
 
@@ -245,11 +275,12 @@ def grow(now: DataFrame, least: int, most: int) -> DataFrame | None:
     """family, id, to: the moves into clusters with under least members, up to the first that empties a donor or takes a member twice."""
     sizes = cut(cluster_sizes(now), shuffled=True)
     under = sizes.where(F.col("n") < least).select("family", F.col("cluster").alias("to"), F.col("n").alias("have"))
-    if under.isEmpty():
+    state = checked(sizes, F.col("n") < least, F.col("n") > least)
+    if not state["some"]:
         release(sizes)
         return None
     donors = sizes.where(F.col("n") > least)
-    if not under.select("family").distinct().join(donors.select("family").distinct(), "family", "left_anti").isEmpty():
+    if state["stuck"]:
         raise ValueError(f"clusters of under {least} members, and none that can give")
     need = under.groupBy("family").agg(F.collect_list(F.struct("to", "have")).alias("wants"))
     rows = now.join(donors, ["family", "cluster"]).join(need, "family")
