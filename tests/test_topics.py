@@ -116,3 +116,81 @@ def test_norms_of_long_rows_are_formed_once(spark):
     assert abs(sum(x * x for x in vector) - 1) < 1e-9
     # a sum of squares for each of the 30,000 entries would take minutes
     assert time.time() - start < 30
+
+
+def odd_texts():
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)] + ["a", "the", "Été", "été", "é"]
+    made = [(i, " ".join(rng.choice(words[: 5 + i % 40]) for _ in range(rng.randrange(0, 60)))) for i in range(700)]
+    return [*made, (900, None), (901, ""), (902, "a b c"), (903, "w1 " * 300), (904, "w1 x w2"), (None, "w1 w2")]
+
+
+@pytest.mark.parametrize("most, pairs", [(25, 1 << 22), (60, 50), (5000, 1)])
+def test_coded_texts_give_the_matrix_of_rows(spark, monkeypatch, most, pairs):
+    monkeypatch.setattr(t, "PAIRS", pairs)
+    rows = odd_texts()[:-1]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    words, dense = plain_matrix(rows, 4, 0.6, most)
+    for made in (t.coded_matrix, t.term_rows):
+        found, blocks = made(docs, len(rows), 4, 0.6, most, STOPS)
+        assert found["term"].to_pylist() == words and found["j"].to_pylist() == list(range(len(words)))
+        got = np.zeros((1000, len(words)))
+        ids = []
+        for r in blocks.collect():
+            n, j, w = np.frombuffer(r.n, np.int64), np.frombuffer(r.j, np.int32), np.frombuffer(r.w)
+            assert r.names == [str(i) for i in r.ids] and len(n) == len(r.ids) <= t.CHUNK and n.sum() == len(j) == len(w)
+            got[np.repeat(r.ids, n), j] += w
+            ids += r.ids
+        assert np.allclose(got[[i for i, _ in rows]], dense, atol=1e-12)
+        assert sorted(ids) == [i for k, (i, _) in enumerate(rows) if dense[k].any()]
+
+
+def test_no_term_of_a_text_is_a_row(spark, monkeypatch):
+    seen = []
+    plain = t.cut
+    monkeypatch.setattr(t, "cut", lambda df, **how: seen.append(plain(df, **how)) or seen[-1])
+    monkeypatch.setattr(t, "release", lambda *tables: None)
+    docs = texts(300)
+    families, _ = t.topic_families(spark.createDataFrame(docs, "id long, x string"), "id", "x", 4, min_df=3, max_df=0.9, max_features=100, components=6, stop_words=STOPS)
+    assert families.count() == 300
+    words = {w for _, x in docs for w in plain_terms(x) if " " not in w}
+    # the 300 texts have 19,000 different terms
+    assert seen and sum(df.count() for df in seen) <= len(words) + 300
+
+
+def test_ids_of_several_texts_and_words_beyond_the_bound(spark, monkeypatch):
+    one = spark.createDataFrame(texts(120), "id long, x string")
+    both = one.unionAll(one.where("id < 60"))
+    ask = lambda docs: t.topic_families(docs, "id", "x", 4, min_df=3, max_df=0.9, components=6, stop_words=STOPS)
+    families, profile = ask(both)
+    assert sorted(r.id for r in families.collect()) == list(range(120)) and sum(r.n for r in profile.collect()) == 120
+    want = [sorted(map(tuple, df.collect())) for df in ask(one)]
+    monkeypatch.setattr(t, "WORDS", 3)
+    assert [sorted(map(tuple, df.collect())) for df in ask(one)] == want
+
+
+def test_sparse_chunks_are_dense_ones():
+    rng = np.random.default_rng(4)
+    for width in (8, 1000):
+        n = np.array([3, 0, 5, 1])
+        j = np.concatenate([np.sort(rng.choice(width, k, replace=False)) for k in n])
+        w, right = rng.normal(size=9), rng.normal(size=(width, 3))
+        want = np.zeros((4, width))
+        want[np.repeat(np.arange(4), n), j] = w
+        zeros, total = np.zeros((6, width)), np.ones((width, 3))
+        got = t.Chunk(n, j, w, zeros)
+        assert (got.dense is None) == (width == 1000)
+        assert np.allclose(got.times(right), want @ right)
+        got.add_transposed(want @ right, total)
+        assert np.allclose(total, 1 + want.T @ want @ right)
+        got.clear()
+        assert not zeros.any()
+
+
+def test_equal_texts_stay_one_family(spark):
+    docs = spark.createDataFrame([(i, "one two three" if i < 50 else "four five six") for i in range(60)], "id long, x string")
+    families, profile = t.topic_families(docs, "id", "x", 4, min_df=1, max_df=1.0, components=2)
+    by = {}
+    for r in families.collect():
+        by.setdefault(r.family, set()).add(r.id < 50)
+    assert sorted(map(sorted, by.values())) == [[False], [True]] and sorted(r.n for r in profile.collect()) == [10, 50]
